@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 QUERIES = {
     "op4_substring_dedup": substring_dedup.query,
+    "op9_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
