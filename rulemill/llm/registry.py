@@ -1,8 +1,9 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import substring_dedup, suffix_dedup
+from . import lm_score, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_lm_score": lm_score.query,
     "op4_substring_dedup": substring_dedup.query,
     "op9_suffix_dedup": suffix_dedup.query,
 }
