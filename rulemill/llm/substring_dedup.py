@@ -42,12 +42,12 @@ def _windows(t: pa.Table, n: int):
 
 
 def _first_ids(ids: np.ndarray, w: np.ndarray, doc: np.ndarray):
-    """Distinct windows, the smallest id that has each and whether two ids of this block have it."""
-    order = np.lexsort((ids[doc], w))
-    u, at = np.unique(w[order], return_index=True)
-    got = ids[doc][order]
-    last = np.r_[at[1:], len(got)] - 1
-    return u, got[at], got[at] != got[last] if len(u) else np.zeros(0, bool)
+    """Distinct windows, the smallest id that has each, whether two ids of this block have it, and which of them each window is."""
+    u, which = C.ranked(w)
+    least, most = np.full(len(u), np.iinfo(np.int64).max), np.full(len(u), np.iinfo(np.int64).min)
+    np.minimum.at(least, which, ids[doc])
+    np.maximum.at(most, which, ids[doc])
+    return u, least, least != most, which
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, with_text: bool = False) -> DataFrame:
@@ -62,13 +62,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, w
         if b < 0:
             return C.packets([])
         w, doc, _, _ = _windows(t, window)
-        u, _, twice = _first_ids(t["doc_id"].to_numpy(), w, doc)
+        u, _, twice, _ = _first_ids(t["doc_id"].to_numpy(), w, doc)
         return C.packets([x for s in rows for x in s.pack(b, u, np.flatnonzero(twice))])
 
     def second(_key, t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows or C.block_id(t) < 0:
             return C.packets([])
-        w = np.unique(_windows(t, window)[0])
+        w = C.uniq(_windows(t, window)[0])
         left = np.ones(len(w), bool)
         for s in rows:
             left &= s.repeated(w, replies)
@@ -83,10 +83,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, w
         blocks_, keys = t["block"].to_numpy(), [np.frombuffer(x.as_py(), C.U64) for x in t["payload"]]
         every = np.concatenate(keys)
         owner = np.repeat(blocks_, [len(k) for k in keys])
-        order = np.lexsort((owner, every))
-        u, at = np.unique(every[order], return_index=True)
-        least = owner[order][at]
-        return C.packets([(int(b), shard, np.packbits(least[np.searchsorted(u, k)] < b).tobytes()) for b, k in zip(blocks_, keys, strict=True)])
+        u, which = C.ranked(every)
+        least = np.full(len(u), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, owner)
+        later = least[which] < owner
+        edges = np.r_[0, np.cumsum([len(k) for k in keys])]
+        return C.packets([(int(b), shard, np.packbits(later[edges[i] : edges[i + 1]]).tobytes()) for i, b in enumerate(blocks_)])
 
     def last(_key, t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -96,12 +98,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, w
         removed = np.zeros(int(counts.sum()), bool)
         if b >= 0 and len(w):
             ids = t["doc_id"].to_numpy()
-            u, least, _ = _first_ids(ids, w, doc)
+            u, least, _, k = _first_ids(ids, w, doc)
             got = dict(C.by_shard(replies))
             left = np.unpackbits(np.frombuffer(got[-1 - b], np.uint8), count=len(u)).astype(bool)
             earlier = np.zeros(len(u), bool)
             earlier[left] = C.unpack_bits(replies, C.split_shards(u[left], bits))
-            k = np.searchsorted(u, w)
             removed = C.cover(at[earlier[k] | (ids[doc] > least[k])], window, len(removed))
         texts, n_removed, digests, kept, lo = t["text"], [], [], [], 0
         edges = np.r_[0, np.cumsum(counts)]
