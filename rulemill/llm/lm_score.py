@@ -79,13 +79,13 @@ def unpack_counts(raw: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
 
 def distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the summed weight of each, and which of them each key is."""
-    u, which = np.unique(keys, return_inverse=True)
+    u, which = C.ranked(keys)
     return u, np.bincount(which, weight, len(u)).astype(np.int64), which
 
 
 def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
     n_rows, n_bytes = C.volume(docs)
-    blocks = C.hash_blocks(docs, C.block_count(n_rows, n_bytes))
+    blocks = C.hash_blocks(docs, C.block_count(n_rows, n_bytes, 2 * C.BLOCK_BYTES))
     sketch = C.Sketch(n_bytes // 6 * (order - 1), 0)
     bits, bits_ctx = C.shard_bits(n_bytes // 2), C.shard_bits(n_bytes // 4)
     WORDS, GRAMS, CTX = 1 << 25, 2 << 25, 3 << 25  # shard numbers of the three rounds
@@ -149,10 +149,11 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
             ctx = np.concatenate(self.ctx) if self.ctx else np.zeros(0, C.U64)
             seen = np.concatenate(self.seen) if self.seen else np.zeros(0, np.int64)
             live = np.flatnonzero(seen >= 2)
-            self.live, at = np.unique(ctx[live], return_inverse=True)
+            self.live, at = C.ranked(ctx[live])
             self.ctx_at = np.full(len(ctx), -1)
             self.ctx_at[live] = at
-            arcs, where = np.unique(self.high_at, return_index=True)  # one place for each distinct n-gram
+            arcs, where = np.arange(len(self.high)), np.zeros(len(self.high), np.int64)
+            where[self.high_at] = np.arange(len(self.high_at))  # one place for each distinct n-gram
             own = self.owner[arcs] & (self.total[arcs] >= 2) & (self.ctx_at[where] >= 0)
             to = self.ctx_at[where[own]]
             self.sum_c = np.bincount(to, self.total[arcs[own]], len(self.live)).astype(np.int64)
