@@ -1,10 +1,12 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import lm_score, substring_dedup, suffix_dedup
+from . import decontaminate, lm_score, packing, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
+    "op3_packing": packing.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op7_decontaminate": decontaminate.query,
     "op9_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
