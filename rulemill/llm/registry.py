@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import decontaminate, lm_score, packing, substring_dedup, suffix_dedup
+from . import ann, decontaminate, lm_score, packing, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.query,
     "op7_decontaminate": decontaminate.query,
     "op9_suffix_dedup": suffix_dedup.query,
+    "op10_ann": ann.query,
 }
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,

@@ -86,7 +86,7 @@ def _pieces(text, length: int) -> tuple[list[Piece], np.ndarray, np.ndarray]:
         hi = s[np.r_[new[1:], True]]
         at = at[new]
         span = C.mix(C.mix((p[hi + length] - p[lo]) * inv[lo]) + ((at - lo) * 1_000_003 + (hi - lo)).astype(C.U64))
-        out.append(Piece(int(off[i]), p, ranks[at], span, lo, hi))
+        out.append(Piece(int(off[i]), p, C.mix(ranks[at]), span, lo, hi))  # least ranks are small ones: mixed again, they spread over the shards
     return out, data, off
 
 
@@ -173,8 +173,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
             at += len(x.lo)
         asks = np.concatenate([np.zeros(0, C.U64), *(w for w, _ in own)])
         gives = np.concatenate(given)
-        u, n = np.unique(np.concatenate([asks, gives, gives]), return_counts=True)
-        return u, n > 1, own
+        u, which_ = C.ranked(np.concatenate([asks, gives]))
+        twice = np.bincount(which_, minlength=len(u)) > 1
+        twice[which_[len(asks) :]] = True
+        return u, twice, own, which_
 
     def second(_key, t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -182,7 +184,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         b, got = C.block_id(t), dict(C.by_shard(replies))
         parts, _, _ = _pieces(t["text"], length)
         code, which = codes(parts, got)
-        u, twice, _ = asked(parts, code, which)
+        u, twice, _, _ = asked(parts, code, which)
         out = [(b, k, u[x:y].tobytes() + np.packbits(twice[x:y]).tobytes()) for k, x, y in C.split_shards(u, bits2)]
         out += [(b, -1 - b * (1 << bits1) - k, v) for k, v in got.items()]  # what the block knows already goes on to the last round
         return C.packets(out)
@@ -201,7 +203,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         every = np.concatenate(keys)
         every = np.concatenate([every, every[np.concatenate(twice).astype(bool)]])
         every.sort()
-        found = np.unique(every[1:][every[1:] == every[:-1]])
+        found = C.uniq(every[1:][every[1:] == every[:-1]])
         out = []
         for b, k in zip(t["block"].to_numpy(), keys, strict=True):
             hit = found[np.minimum(np.searchsorted(found, k), len(found) - 1)] == k if len(found) else np.zeros(len(k), bool)
@@ -214,16 +216,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
             b, got = C.block_id(t), dict(C.by_shard(replies))
             parts, data, off = _pieces(t["text"], length)
             code, which = codes(parts, {(-1 - s - b * (1 << bits1)): v for s, v in got.items() if s < 0})
-            u, _, own = asked(parts, code, which)
+            u, _, own, mine = asked(parts, code, which)
             flags = C.unpack_bits(replies, C.split_shards(u, bits2))
-            starts, at = [np.zeros(0, np.int64)], 0
+            starts, at, m = [np.zeros(0, np.int64)], 0, 0
             for x, (w, s) in zip(parts, own, strict=True):
                 c = code[at : at + len(x.lo)]
                 whole = np.flatnonzero((c == WHOLE) | (c == GIVES))
                 n = x.hi[whole] - x.lo[whole] + 1
                 starts.append(x.base + np.repeat(x.lo[whole], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-                starts.append(x.base + s[flags[np.searchsorted(u, w)]] if len(w) else s)
-                at += len(x.lo)
+                starts.append(x.base + s[flags[mine[m : m + len(w)]]])
+                at, m = at + len(x.lo), m + len(w)
             gone = C.cover(np.concatenate(starts), length, len(data))
             ids = t["doc_id"].to_pylist()
             for i in range(len(ids)):
