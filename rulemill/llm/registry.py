@@ -1,12 +1,14 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import ann, decontaminate, lm_score, packing, pii, substring_dedup, suffix_dedup
+from . import ann, decontaminate, lm_score, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
+    "op2_quality": quality.query,
     "op3_packing": packing.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_pii": pii.query,
+    "op6_toxicity": toxicity.query,
     "op7_decontaminate": decontaminate.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_ann": ann.query,
