@@ -1,11 +1,69 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: from documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+return the columns of documents.  A row without a doc_id goes by its text's hash; rows with one doc_id
+are one document from the near-duplicate stage on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulemill.llm import common as C
+from rulemill.llm import decontaminate, near_dedup, packing, pii, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, C.table(spark, sf_dir, "labels"))
+
+
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    return docs.withColumn(name, F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the least id."""
+    d = _keyed(docs, "_key")
+    kept = near_dedup.near_dedup(d.select(F.col("_key").alias("doc_id"), "text")).filter("is_kept").select(F.col("doc_id").alias("_key")).distinct()
+    return d.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less of the benchmark than the rule allows."""
+    d = _keyed(docs, "_key")
+    hits = decontaminate.decontaminate(d.select(F.col("_key").alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark"))
+    return d.join(hits.filter("contaminated").select(F.col("doc_id").alias("_key")), "_key", "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by its kind in brackets."""
+    got = pii.label(docs)
+    text = F.when(F.size("spans") > 0, pii.redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    new = got.withColumn("_text", text)
+    columns = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return new.select(*(columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", pii_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Stages are not SQL-expressible (a trained classifier, signatures, a tokenizer); tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = C.materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

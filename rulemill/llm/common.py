@@ -10,7 +10,9 @@ are plain shuffle keys: a lost executor costs a recomputation of its groups only
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,17 +34,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder only where none is set (tests)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rulemill-ckpt-"))
+    had = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not had:
+        had = tempfile.mkdtemp(prefix="rulemill-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", had)
+    return had
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; the lineage ends here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared checkpoint folder and go on from there; the lineage ends here.
+
+    checkpoint() would compute df twice.  The tables go when the driver ends; a cluster's own clean-up
+    of that folder takes those of a driver that was killed.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/rulemill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove() -> None:
+    for spark, path in _WRITTEN:
+        jvm = getattr(spark.sparkContext, "_jvm", None)
+        if jvm is None or spark.sparkContext._jsc is None:
+            return  # the session has ended before
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_column(name: str = "text"):
@@ -100,8 +126,9 @@ def split_shards(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 
 
 def by_shard(t: pa.Table) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(t["shard"].to_numpy(), kind="stable")
-    for i in order:
+    if not t.num_rows:  # a block that sent nothing got no reply
+        return
+    for i in np.argsort(t["shard"].to_numpy(), kind="stable"):
         yield t["shard"][int(i)].as_py(), t["payload"][int(i)].as_py()
 
 

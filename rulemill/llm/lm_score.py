@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 ORDER, DISCOUNT, ADD = 2, 0.75, 0.1
+BLOCK_BYTES = 12 << 20  # n-grams repeat within a block, so larger ones send less; this is what two workers' memory allows
 END = C.U64(0x5851F42D4C957F2D)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_arcs long"
 HEAD = np.dtype([("n", "<i8"), ("v", "<i8"), ("n1", "<i8"), ("docs", "<i8")])
@@ -85,7 +86,7 @@ def distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
     n_rows, n_bytes = C.volume(docs)
-    blocks = C.hash_blocks(docs, C.block_count(n_rows, n_bytes, 2 * C.BLOCK_BYTES))
+    blocks = C.hash_blocks(docs, C.block_count(n_rows, n_bytes, BLOCK_BYTES))
     sketch = C.Sketch(n_bytes // 6 * (order - 1), 0)
     bits, bits_ctx = C.shard_bits(n_bytes // 2), C.shard_bits(n_bytes // 4)
     WORDS, GRAMS, CTX = 1 << 25, 2 << 25, 3 << 25  # shard numbers of the three rounds

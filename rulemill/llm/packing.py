@@ -219,12 +219,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ids: bool = False) -> DataFr
     made = made.withColumn("block", F.pmod("place", F.lit(n_blocks)).cast("int"))
     counts = made.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))  # for each size a row a block at most
     before = W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank"))
+    rank = F.coalesce(F.sum("n").over(before), F.lit(0))
+    # new names: the two sides of a cogroup must not share columns of one origin
+    first = counts.select(F.col("block").alias("of_block"), F.col("length").alias("of_length"), rank.alias("rank")).withColumnRenamed("of_block", "block")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = runs(plan(histogram, capacity))
 
     def place(_key, t: pa.Table, first: pa.Table) -> pa.Table:
-        length, base = t["length"].to_numpy(), dict(zip(first["length"].to_pylist(), first["rank"].to_pylist(), strict=True))
+        length, base = t["length"].to_numpy(), dict(zip(first["of_length"].to_pylist(), first["rank"].to_pylist(), strict=True))
         order = np.lexsort((t["piece"].to_numpy(), t["place"].to_numpy(), length))
         t, length = t.take(pa.array(order)), length[order]
         seq, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)

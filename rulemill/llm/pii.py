@@ -104,7 +104,7 @@ CANDIDATE = "array<struct<kind:string,s:int,e:int,base:boolean,v1:int,v2:int,v3:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the array of candidates; texts without any digit or @ are not searched."""
+    """doc_id, text, the array of candidates and the whole input row; texts without any digit or @ are not searched."""
     clean = F.translate(C.text_column(), MARK, "�")
     joined = F.regexp_replace(F.col("text"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
     digits = F.regexp_replace(F.col("text"), r"(?<=[0-9])[ -](?=[0-9])", MARK)
@@ -117,9 +117,9 @@ def candidates(docs: DataFrame) -> DataFrame:
         ("phone", False, F.col("digit") & F.col("text").contains("("), F.col("text"), LOCAL),
         ("secret", False, F.col("digit"), F.col("text"), SECRET),
     ]
-    df = docs.select("doc_id", clean.alias("text")).withColumn("digit", F.col("text").rlike("[0-9]"))
+    df = docs.select("doc_id", clean.alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("digit", F.col("text").rlike("[0-9]"))
     each = [F.when(gate, F.transform(located(marked, p), _candidate(kind, strict)(F.col("text")))).otherwise(none) for kind, strict, gate, marked, p in searched]
-    return df.select("doc_id", "text", F.concat(*(c.cast(CANDIDATE) for c in each)).alias("found"))
+    return df.select("doc_id", "text", "row", F.concat(*(c.cast(CANDIDATE) for c in each)).alias("found"))
 
 
 def pattern_counts(found: DataFrame) -> list:
@@ -189,7 +189,7 @@ def _key_of(r) -> str:
 
 
 def label(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """doc_id, text and the accepted candidates in order (``spans``), the base ones among them marked."""
+    """doc_id, text, the input row and the accepted candidates in order (``spans``), the base ones among them marked."""
     found = candidates(docs)
     keys = train(pattern_counts(found), accept)
     key = lambda x: F.concat_ws("|", x["kind"], *(x[f].cast("string") for f in ("v1", "v2", "v3", "size", "edge")))
@@ -199,7 +199,7 @@ def label(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     extra = F.filter("found", lambda x: ~x["base"] & F.array_contains(known, key(x)) & apart(x))
     rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
     ordered = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["s"].alias("s"), rank(x).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base"))))
-    return found.withColumn("base", base).withColumn("extra", extra).select("doc_id", "text", F.array_distinct(ordered).alias("spans"))
+    return found.withColumn("base", base).withColumn("extra", extra).select("doc_id", "text", "row", F.array_distinct(ordered).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

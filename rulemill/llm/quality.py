@@ -221,5 +221,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the classifier does not reject, with all their columns."""
+    vectors, model = fit(docs, labels)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.scores(features(b["text"], vectors)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))

@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import ann, decontaminate, lm_score, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, lm_score, near_dedup, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_pii": pii.query,
     "op6_toxicity": toxicity.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_ann": ann.query,
 }
