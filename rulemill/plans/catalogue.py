@@ -1,8 +1,9 @@
 """Every registered query over the driver's tables, with the SQL that states its result."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
 
+from . import rule_queries
 
-def flagship(spark, sf_dir):
-    return QUERIES["canonical_share"](spark, sf_dir)
+QUERIES = dict(rule_queries.QUERIES)
+ORACLE_SQL = dict(rule_queries.ORACLE_SQL)
+flagship = rule_queries.canonical_share
