@@ -11,9 +11,8 @@ documents, directly or not, form a class.
 2. Documents with equal shingle sets are one class from the start, whatever their number: one of them goes on.
 3. Signatures are cut in ``bands`` of ``rows`` coordinates.  Documents that share a band share a bucket.
    A bucket's members are compared with one member, not with each other: first the smallest id, then for
-   some rounds a randomly drawn one, leaving out those already in its class.  What is still in
-   several classes after that is compared pair by pair, but for pairs whose distances to the bucket's first
-   member differ by more than 1 - threshold (Jaccard distance is a metric, so they cannot be linked).
+   in a second round a randomly drawn one, leaving out those already in its class.  Members of buckets that still
+   hold several classes then meet through their rarest shingles (prefix filtering), which loses no pair.
 4. Candidates are verified on whole shingle sets; classes are connected components by minimum labels.
 
 At similarity 0.8 a pair shares none of 24 bands of 4 coordinates with probability 3e-6.
@@ -31,11 +30,12 @@ from math import exp, log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 24, 4, 3
+SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 24, 4, 1
 LOW = -14  # rank cells begin at [0, 2**LOW)
 SIGNED = "doc_id long, set_hash long, bands array<long>"
 RESULT = "doc_id long, class_id long, is_kept boolean"
@@ -127,25 +127,29 @@ def _throw(out, elements, doc, w, reach, live, k) -> None:
             j += 1
 
 
+def _parts(batches):
+    """Batches cut to some megabytes of text, whatever the texts' lengths."""
+    for b in batches:
+        for i, j in C.pieces(C.text_bytes(b["text"])[1], 2 << 20):
+            yield b.slice(i, j - i)
+
+
 def _signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     def run(batches):
-        for b in batches:
-            data_off = C.text_bytes(b["text"])[1]
-            for i, j in C.pieces(data_off, 2 << 20):
-                part = b.slice(i, j - i)
-                w, counts = shingles(part["text"], n)
-                sig = signatures(w, counts, bands * rows).reshape(-1, bands, rows)
-                key = np.zeros((len(counts), bands), C.U64) + np.arange(bands, dtype=C.U64)
-                for q in range(rows):
-                    key = C.mix(key * C.U64(C.BASE) + sig[:, :, q])
-                edges = np.r_[0, np.cumsum(counts)]
-                full = counts > 0
-                whole = np.zeros(len(counts), C.U64)
-                if full.any():
-                    whole[full] = np.add.reduceat(C.mix(w ^ C.U64(0x1234567)), edges[:-1][full])
-                set_hash = pa.array(C.mix(whole).view(np.int64), mask=~full)
-                flat = pa.ListArray.from_arrays(np.arange(0, (len(counts) + 1) * bands, bands, dtype=np.int32), key.reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], set_hash, flat], names=["doc_id", "set_hash", "bands"])
+        for part in _parts(batches):
+            w, counts = shingles(part["text"], n)
+            sig = signatures(w, counts, bands * rows).reshape(-1, bands, rows)
+            key = np.zeros((len(counts), bands), C.U64) + np.arange(bands, dtype=C.U64)
+            for q in range(rows):
+                key = C.mix(key * C.U64(C.BASE) + sig[:, :, q])
+            edges = np.r_[0, np.cumsum(counts)]
+            full = counts > 0
+            whole = np.zeros(len(counts), C.U64)
+            if full.any():
+                whole[full] = np.add.reduceat(C.mix(w ^ C.U64(0x1234567)), edges[:-1][full])
+            set_hash = pa.array(C.mix(whole).view(np.int64), mask=~full)
+            flat = pa.ListArray.from_arrays(np.arange(0, (len(counts) + 1) * bands, bands, dtype=np.int32), key.reshape(-1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], set_hash, flat], names=["doc_id", "set_hash", "bands"])
 
     return docs.select("doc_id", C.text_column().alias("text")).mapInArrow(run, SIGNED)
 
@@ -154,10 +158,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """(id, x): the shingle set of each document as sorted 32-bit hashes."""
 
     def run(batches):
-        for b in batches:
-            w, counts = shingles(b["text"], n)
+        for part in _parts(batches):
+            w, counts = shingles(part["text"], n)
             edges = np.r_[0, np.cumsum(counts)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(edges, (w >> C.U64(32)).astype(np.uint32).view(np.int32))], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(edges, (w >> C.U64(32)).astype(np.uint32).view(np.int32))], names=["id", "x"])
 
     return docs.select("doc_id", C.text_column().alias("text")).mapInArrow(run, "id long, x array<int>")
 
@@ -184,6 +188,33 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("id", "label")
 
 
+def _sharing_rare(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of different classes that share one of their rarest shingles.
+
+    With its shingles in one global order, a set of n has any partner at the threshold or above on one of its
+    first n - ceil(threshold * n) + 1; rarest first, these are mostly its own.  The first common shingle must leave
+    room for the overlap that the two sizes ask for, which drops most of the pairs that share only what is common
+    to a whole group.  No pair is lost.
+    """
+    one = members.join(sets, "id").withColumn("x", F.array_distinct("x"))
+    # shingles of one member only can match nothing; they count by their number, as the first in the order
+    each = one.select("id", "label", F.size("x").alias("n"), F.explode("x").alias("s"))
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    known = each.join(shared, "s")
+    own = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id"))
+    place = own + F.row_number().over(W.partitionBy("id").orderBy("df", "s"))
+    placed = known.select("id", "label", "s", "n", place.alias("place"))
+    probe = placed.filter(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    # of two sets the smaller has the common shingle even earlier, as the overlap is at least 2t/(1+t) of its size
+    index = placed.filter(F.col("place") <= F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1)
+    index = index.select("s", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "place")])
+    smaller = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("id2") < F.col("id")))
+    overlap = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-9)
+    room = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))  # what can still be common from here on
+    pairs = probe.join(index, "s").filter((F.col("label") != F.col("label2")) & smaller & (F.col("n2") >= threshold * F.col("n") - 1e-9) & (room >= overlap))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), is_kept (true for one document of each class)."""
     signed = C.materialise(_signed(docs, bands, rows, shingle))
@@ -197,7 +228,6 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     sets = C.materialise(_sets(chosen, shingle))
     star = member.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     known = C.materialise(_verified(star, sets))
-    first_sim = known.select(F.col("a").alias("first"), F.col("b").alias("id"), "sim")
     links = known.filter(F.col("sim") >= threshold).select("a", "b")
     label = components(links)
 
@@ -219,11 +249,8 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
         label = components(links)
         left = placed(left.drop("label"))
     if not left.isEmpty():
-        x = left.join(first_sim, ["first", "id"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0)))
-        y = x.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("sim").alias("sim2"))
-        slack = 1 - threshold + 1e-9
-        pairs = x.join(y, "bucket").filter((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & (F.abs(F.col("sim") - F.col("sim2")) <= slack))
-        got = _verified(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), sets).filter(F.col("sim") >= threshold)
+        pairs = _sharing_rare(left.select("id", "label").distinct(), sets, threshold)
+        got = _verified(pairs, sets).filter(F.col("sim") >= threshold)
         label = components(C.materialise(links.unionByName(got.select("a", "b"))))
     by_set = rep.select("set_hash", "id").join(label, "id", "left").select("set_hash", F.coalesce("label", "id").alias("class_id"))
     out = signed.select("doc_id", "set_hash").join(by_set, "set_hash", "left")
