@@ -35,10 +35,11 @@ def learn_lexicon(rows: DataFrame, share: float = SHARE) -> list[str]:
     """Terms, and stems as "beginning*", that mark toxic documents of (text, label).
 
     Near copies count once, lest all words of a much copied document look like marks: of the documents with the
-    same least-hashed long word and the same label, one is counted.
+    same least-hashed pair of neighbouring words and the same label, one is counted.
     """
-    long_words = F.filter(F.split(F.lower(C.text_column()), r"[^\p{L}]+"), lambda w: F.length(w) >= 8)
-    rows = rows.withColumn("sig", F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text")))
+    words = F.split(F.lower(C.text_column()), r"\s+")
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+    rows = rows.withColumn("sig", F.array_min(pairs))
     rows = rows.groupBy("sig", "label").agg(F.min("text").alias("text"))
 
     def count(batches):
