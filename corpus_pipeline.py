@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of documents.  A row without a doc_id goes by its text's hash; rows with one doc_id
-are one document from the near-duplicate stage on.
+are one document from the near-duplicate stage on, where one of them stays.
 """
 
 from __future__ import annotations
@@ -19,22 +19,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, C.table(spark, sf_dir, "labels"))
 
 
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    return docs.withColumn(name, F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key in a column of a new name: the id, or for rows without one a hash of the text."""
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.coalesce(F.col("doc_id"), F.xxhash64(F.lit("a row without an id"), F.col("text")))), name
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least id."""
-    d = _keyed(docs, "_key")
-    kept = near_dedup.near_dedup(d.select(F.col("_key").alias("doc_id"), "text")).filter("is_kept").select(F.col("doc_id").alias("_key")).distinct()
-    return d.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    d, key = _keyed(docs)
+    kept = near_dedup.near_dedup(d.select(F.col(key).alias("doc_id"), "text")).filter("is_kept").select(F.col("doc_id").alias(key)).distinct()
+    return d.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less of the benchmark than the rule allows."""
-    d = _keyed(docs, "_key")
-    hits = decontaminate.decontaminate(d.select(F.col("_key").alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark"))
-    return d.join(hits.filter("contaminated").select(F.col("doc_id").alias("_key")), "_key", "left_anti").select(*docs.columns)
+    d, key = _keyed(docs)
+    hits = decontaminate.decontaminate(d.select(F.col(key).alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark"))
+    return d.join(hits.filter("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
