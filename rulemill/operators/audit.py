@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PATTERNS, RULE_KIND
-from .relational import count_rows, differs, duplicates, exact2, is_blank_text, missing, mixed_keys
+from .relational import count_rows, duplicates, exact2, is_blank_text, missing, mixed_keys
 
 # What a status is called.
 OK, FAIL, REVIEW = "OK", "FAIL", "PRUEFEN"
@@ -168,7 +168,14 @@ def parse_results(programs: DataFrame, results: DataFrame) -> DataFrame:
 
 def candidates_of_invalid(candidates_: DataFrame, results: DataFrame) -> DataFrame:
     """C-05: candidates whose program is not VALID, or unknown."""
-    return one("C-05", "S3", differs(candidates_, results.withColumn("want", F.lit("VALID")), ["program_id"], "status", "want").unionByName(missing(candidates_, results, ["program_id"]), allowMissingColumns=True).dropDuplicates())
+    status = candidates_.join(results.select("program_id", "status"), "program_id", "left")
+    return one("C-05", "S3", status.filter(~F.col("status").eqNullSafe(F.lit("VALID"))))
+
+
+def glued_and_separate(rows: DataFrame) -> DataFrame:
+    """C-52: stub markers without and with a blank between them."""
+    stub = "EXEC_BLOCK_STUB"
+    return rows.agg(F.count_if(_ws(*ACTION).rlike(f"(?i){stub}{stub}")).alias("glued"), F.count_if(_ws(*ACTION).rlike(f"(?i){stub}{SPACE}+{stub}")).alias("separate"))
 
 
 def _difference(check_id: str, stage: str, a: DataFrame, b: DataFrame, at_most: bool = False) -> DataFrame:
