@@ -216,7 +216,7 @@ def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = x[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
-    which = np.empty(len(s), np.int64)
+    which = np.empty(len(s), np.int32 if len(s) < 1 << 31 else np.int64)
     which[order] = np.cumsum(new) - 1
     return s[new], which
 

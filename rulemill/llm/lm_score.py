@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 ORDER, DISCOUNT, ADD = 2, 0.75, 0.1
-BLOCK_BYTES = 12 << 20  # n-grams repeat within a block, so larger ones send less; this is what two workers' memory allows
+BLOCK_BYTES = 16 << 20  # n-grams repeat within a block, so larger ones send less; this is what two workers' memory allows
 END = C.U64(0x5851F42D4C957F2D)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_arcs long"
 HEAD = np.dtype([("n", "<i8"), ("v", "<i8"), ("n1", "<i8"), ("docs", "<i8")])
@@ -105,12 +105,13 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
             self.ids = t["doc_id"].to_pylist()
             self.held = np.array([is_held_out(x) for x in self.ids], bool)
             tok, self.counts = tokens(t["text"])
-            self.train = np.repeat(~self.held, self.counts).astype(np.int64)
-            self.tok = tok
-            self.g, self.ctx = grams(tok, self.counts, order)
-            self.words, self.word_n, self.word_at = distinct(tok, self.train)
-            high = np.concatenate(self.g[1:]) if order > 1 else np.zeros(0, C.U64)
-            self.high, self.high_n, self.high_at = distinct(high, np.tile(self.train, order - 1))
+            train = np.repeat(~self.held, self.counts)
+            self.per = len(tok)
+            g, self.ctx = grams(tok, self.counts, order)
+            self.words, self.word_n, self.word_at = distinct(tok, train)
+            high = np.zeros(0, C.U64) if order == 1 else g[1] if order == 2 else np.concatenate(g[1:])
+            del g, tok  # of the fingerprints only the distinct ones are needed from here on
+            self.high, self.high_n, self.high_at = distinct(high, np.tile(train, order - 1))
 
         def kept(self, replies: dict, sketch_flags: np.ndarray) -> None:
             """Counts over all training documents: of words, and of the n-grams that the sketch left (0 for others)."""
@@ -139,7 +140,7 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
 
         def context(self) -> None:
             """Of each context: how often it was read in training; the contexts that can have arcs, and what this block owns of them."""
-            per = len(self.tok)
+            per = self.per
             self.seen, first = [], np.cumsum(self.counts) - self.counts
             for k in range(order - 1):  # the context of an n-gram is the (n-1)-gram before it
                 shorter = self.word_total[self.word_at] if not k else self.total[self.high_at[(k - 1) * per : k * per]]
@@ -151,10 +152,11 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
             seen = np.concatenate(self.seen) if self.seen else np.zeros(0, np.int64)
             live = np.flatnonzero(seen >= 2)
             self.live, at = C.ranked(ctx[live])
-            self.ctx_at = np.full(len(ctx), -1)
+            self.ctx_at = np.full(len(ctx), -1, np.int32)
             self.ctx_at[live] = at
-            arcs, where = np.arange(len(self.high)), np.zeros(len(self.high), np.int64)
-            where[self.high_at] = np.arange(len(self.high_at))  # one place for each distinct n-gram
+            self.ctx = []
+            arcs, where = np.arange(len(self.high)), np.zeros(len(self.high), np.int32)
+            where[self.high_at] = np.arange(len(self.high_at), dtype=np.int32)  # one place for each distinct n-gram
             own = self.owner[arcs] & (self.total[arcs] >= 2) & (self.ctx_at[where] >= 0)
             to = self.ctx_at[where[own]]
             self.sum_c = np.bincount(to, self.total[arcs[own]], len(self.live)).astype(np.int64)
@@ -253,7 +255,7 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
         c1 = b.word_total[b.word_at]
         unk = (b.n1 + 0.5) / (b.n + 1) if b.n else 1.0
         p = np.where(c1 > 0, (1 - unk) * c1 / max(b.n, 1), unk)
-        per, used = len(b.tok), np.zeros(len(b.tok), np.int64)
+        per, used = b.per, np.zeros(b.per, np.int64)
         for k in range(order - 1):  # from the shortest context up: an arc if there is one, and the failure arc's share
             at, seen = b.ctx_at[k * per : (k + 1) * per], np.maximum(b.seen[k], 1)
             live = at >= 0
