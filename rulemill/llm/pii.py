@@ -199,7 +199,7 @@ def label(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     extra = F.filter("found", lambda x: ~x["base"] & F.array_contains(known, key(x)) & apart(x))
     rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
     ordered = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["s"].alias("s"), rank(x).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base"))))
-    return found.withColumn("base", base).withColumn("extra", extra).select("doc_id", "text", "row", F.array_distinct(ordered).alias("spans"))
+    return found.withColumn("base", base).withColumn("extra", extra).select("doc_id", "text", "row", ordered.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
