@@ -187,7 +187,8 @@ def _difference(check_id: str, stage: str, a: DataFrame, b: DataFrame, at_most:
 
 def key_format(patterns: DataFrame, key: str, check_id: str, stage: str) -> DataFrame:
     """C-24: keys are 64 hexadecimal digits."""
-    return one(check_id, stage, patterns.filter(~F.col(key).rlike("^[0-9a-f]{64}$")))
+    # counted, not filtered: a filter on a key would be pushed below its aggregation, and compute the key once more
+    return run_checks(patterns, stage, {check_id: (~F.col(key).rlike("^[0-9a-f]{64}$"), FAIL)})
 
 
 def key_unique(patterns: DataFrame, key: str, check_id: str, stage: str) -> DataFrame:

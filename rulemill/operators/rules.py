@@ -64,6 +64,11 @@ def examples(rows: DataFrame, k: int = 3) -> DataFrame:
     return top_k(rows, ["abstract_canonical_key"], ["program_id", "start_line", "end_line", "raw_snippet"], k)
 
 
+def examples_of_raw(rules: DataFrame, order: list, key: str = "canonical_key", k: int = 3) -> DataFrame:
+    """O-151 from raw rules: the first k of each key lie among the first k of each raw text, so only those are normalised."""
+    return top_k(keyed(top_k(rules, RULE_COLUMNS, order, k).drop("rank")), [key], order, k)
+
+
 def kind_summary(rows: DataFrame, kind: str = "kind") -> DataFrame:
     """O-103: totals by kind."""
     return rows.agg(count_rows().alias("total"), F.count_if(F.col(kind) == "IF").alias("ifs"), F.count_if(F.col(kind) == "EVALUATE").alias("evaluates"))

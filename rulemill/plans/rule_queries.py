@@ -12,7 +12,7 @@ from ..functions import keys, normalize
 from ..functions.abstraction import RESERVED
 from ..functions.normalize import COUNTED_VERBS, OPERATOR_WORDS
 from ..operators import audit, reports, rules
-from ..operators.relational import count_rows, top_k
+from ..operators.relational import count_rows
 
 Q = "chr(39)"
 QTY, LINE = "cast(cast(l_quantity AS int) AS varchar(9))", "cast(l_linenumber AS varchar(9))"
@@ -243,8 +243,8 @@ def _reduction(spark, d):
 
 
 def _topk(spark, d):
-    x = keys.with_canonical_key(normalize.normalize_rules(source(spark, d)))
-    return top_k(x, ["canonical_key"], ["program_id", "start_line", "raw_snippet", "condition_text", "when_text", "then_text"], 3).select("canonical_key", "program_id", "start_line", "rank")
+    order = ["program_id", "start_line", "raw_snippet", "condition_text", "when_text", "then_text"]
+    return rules.examples_of_raw(source(spark, d), order).select("canonical_key", "program_id", "start_line", "rank")
 
 
 def _audit_s4(spark, d):
