@@ -16,4 +16,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
