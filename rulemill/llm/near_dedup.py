@@ -10,7 +10,7 @@ documents, directly or not, form a class.
    probability of their weighted Jaccard similarity.  Elements may carry weights; the query's are all 1.
 2. Documents with equal shingle sets are one class from the start, whatever their number: one of them goes on.
 3. Signatures are cut in ``bands`` of ``rows`` coordinates.  Documents that share a band share a bucket.
-   A bucket's members are compared with one member, not with each other: first the smallest id, then for
+   A bucket's members are compared with one member, not with each other: first the smallest id,
    in a second round a randomly drawn one, leaving out those already in its class.  Members of buckets that still
    hold several classes then meet through their rarest shingles (prefix filtering), which loses no pair.
 4. Candidates are verified on whole shingle sets; classes are connected components by minimum labels.
