@@ -34,7 +34,7 @@ def _programs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark, d):
-    return parse_stage.parse(_programs(spark, d))
+    return parse_stage.parse(_programs(spark, d), partitions=spark.sparkContext.defaultParallelism)
 
 
 def _status(column: int) -> str:

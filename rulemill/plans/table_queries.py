@@ -294,7 +294,7 @@ def _extract(spark, d):
     n = _c("p_partkey").cast("string")
     text = F.concat(F.lit(head + "SAMPLE"), n, F.lit(tail.split("{n}")[0]), n, F.lit(tail.split("{n}")[1]), n, F.lit(tail.split("{n}")[2]))
     programs = read(spark, d, "part").select(_c("p_partkey").alias("id"), F.concat(F.lit("/src/"), n, F.lit(".cbl")).alias("path"), F.lit("XCOBOL").alias("source_type"), text.cast("binary").alias("content"))
-    got = parse_stage.rules(parse_stage.parse(programs)).drop("raw_snippet")
+    got = parse_stage.rules(parse_stage.parse(programs, partitions=spark.sparkContext.defaultParallelism)).drop("raw_snippet")
     return got.fillna({"when_index": -1, "evaluate_boolean_mode": False, "is_when_other": False})
 
 
