@@ -24,11 +24,13 @@ def _docs(spark, d):
 
 # ---------------------------------------------------------------- text
 
-_DIRTY = "concat(substr(text, 1, 400), chr(13), chr(10), chr(9), 'x', chr(13), 'y', chr(7), ' A, B_C {z} `q` [1]! .. end')"
+_DIRT = "chr(13), chr(10), chr(9), 'x', chr(13), 'y', chr(7), ' A, B_C {z} `q` [1]! .. end'"
+#: The SQL's texts, still cut; the queries clean whole ones.
+_DIRTY = f"concat(substr(text, 1, 400), {_DIRT})"
 
 
 def _dirty(spark, d):
-    return _docs(spark, d).select("doc_id", F.expr(_DIRTY).alias("t"))
+    return _docs(spark, d).select("doc_id", F.expr(f"concat(coalesce(text, ''), {_DIRT})").alias("t"))
 
 
 def _mapped(f, out: str):
