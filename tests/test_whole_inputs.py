@@ -29,3 +29,12 @@ def test_cleaning_of_whole_texts(spark, tmp_path, name):
     got = same(spark, tmp_path, name, {"documents": docs}, ("substr(text, 1, 400)", "coalesce(text, '')"))
     if name not in ("ellipsis", "preview"):
         assert min(len(r["out"]) for r in got if r["doc_id"] == 1) > 1000
+
+
+@pytest.mark.parametrize("name", ["weighted_kappa", "dimension_report", "category_report", "rating_counts", "mean_mismatch"])
+def test_reports_over_all_ratings(spark, tmp_path, name):
+    events = spark.range(4000, 7003).selectExpr("id AS event_id", "id * id % 83 AS user_id")
+    part = spark.range(1, 1500).selectExpr("id AS p_partkey", "concat('b', id % 4) AS p_brand")
+    got = same(spark, tmp_path, name, {"events": events, "part": part}, (" WHERE event_id < 5000", ""))
+    if name == "rating_counts":
+        assert got[0]["rows"] == 3003
