@@ -1,10 +1,12 @@
 """Toxicity by a misspelling-tolerant lexicon and the context of its hits.
 
 1. The lexicon comes from the labelled sample (labelled.py): terms and stems (beginnings of words) that
-   occur in toxic documents and, but for at most one in ``odds``, nowhere else.  It is a trie.
+   occur in toxic documents and, but for at most one in ``odds``, nowhere else.  Terms that may be misspelled
+   are kept beside stems that they begin with.  It is a trie.
 2. A Levenshtein automaton of each word is intersected with the trie: the automaton's state is the row of edit
-   distances to the path so far, and branches whose row exceeds the bound are cut.  Words that share no half
-   with any term cannot be within one edit of it and are not walked.
+   distances to the path so far, and branches whose row exceeds the bound are cut.  Two letters that changed
+   places are one edit.  Words that share no half with any term, nor its beginning with the middle two letters
+   in each other's place, cannot be within one edit of it and are not walked.
 3. Each hit gets a context score: a window of words around it tells quotation (quotation marks on both sides,
    words of reporting) from abuse.  Counts of plain, misspelled and quoted hits, alone and per word, go in a
    logistic regression fitted on the sample.
@@ -24,7 +26,7 @@ from . import common as C
 from . import labelled as L
 
 THRESHOLD, STEM, MIN_DOCS, SHARE, ODDS, MAX_TERMS, CONTEXT = 0.5, (4, 5, 6, 7), 4, 0.004, 40, 5_000, 6
-FUZZY = 6  # letters from which on a term may be misspelled
+FUZZY, FUZZY_STEM = 5, 6  # letters from which on a term, or a stem, may be misspelled
 REPORTING = tuple(w.encode() for w in ("said", "says", "quote", "quoted", "wrote", "called", "dijo", "dit", "sagte"))
 QUOTES = '"“”«»„'
 RESULT = "doc_id long, held_out boolean, score double, predicted int, n_hits long, n_quoted long"
@@ -67,7 +69,7 @@ def learn_lexicon(rows: DataFrame, share: float = SHARE) -> list[str]:
     best = got.filter((F.col("term") != " docs") & (F.col("bad") >= few) & (F.col("good") * ODDS <= F.col("bad")) & (F.length("term") > 3))
     found = {r["term"] for r in best.orderBy(F.desc("bad"), "term").limit(MAX_TERMS).collect()}
     stems = {t for t in found if t.endswith("*") and not any(t[:k] + "*" in found for k in range(1, len(t) - 1))}
-    return sorted(stems | {t for t in found if not t.endswith("*") and not any(t[:k] + "*" in stems for k in range(1, len(t) + 1))})
+    return sorted(stems | {t for t in found if not t.endswith("*") and (len(t) >= FUZZY or not any(t[:k] + "*" in stems for k in range(1, len(t) + 1)))})
 
 
 class Trie:
@@ -88,37 +90,49 @@ class Trie:
                 node = self.next[node][c]
             self.end[node] |= 2 if t.endswith("*") else 1
 
-    def match(self, word: str, edits: int = 1) -> int:
-        """0, or 1 + the least edits (up to the bound) between the word, or its beginning for a stem, and the lexicon."""
+    def match(self, word: str, edits: int = 1, swaps: bool = False) -> int:
+        """0, or 1 + the least edits (up to the bound) between the word, or its beginning for a stem, and the lexicon.
+
+        With ``swaps``, two neighbouring letters in each other's place are one edit instead of two.
+        """
         best = edits + 1
-        todo = [(0, tuple(range(len(word) + 1)))]
+        todo = [(0, tuple(range(len(word) + 1)), "", ())]
         while todo:
-            node, row = todo.pop()
-            bound = min(edits, self.length[node] // FUZZY)
-            if self.end[node] & 1 and row[-1] <= bound:
+            node, row, last, before = todo.pop()
+            if self.end[node] & 1 and row[-1] <= min(edits, self.length[node] // FUZZY):
                 best = min(best, row[-1])
-            if self.end[node] & 2 and min(row) <= bound:
+            if self.end[node] & 2 and min(row) <= min(edits, self.length[node] // FUZZY_STEM):
                 best = min(best, min(row))
             for c, child in self.next[node].items():
                 new = [row[0] + 1]
                 for k, w in enumerate(word):
                     new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (w != c)))
+                    if swaps and k and w == last and word[k - 1] == c and before:
+                        new[-1] = min(new[-1], before[k - 1] + 1)
                 if min(new) < best and min(new) <= edits:
-                    todo.append((child, tuple(new)))
+                    todo.append((child, tuple(new), c, row))
         return best + 1 if best <= edits else 0
 
 
+def swapped(term: str, k: int) -> list[bytes]:
+    """Beginnings of the term up to two neighbouring letters that changed places and lie on both sides of byte k."""
+    ends = [len(term[:i].encode()) for i in range(len(term) + 1)]
+    return [(term[:i] + term[i + 1] + term[i]).encode() for i in range(len(term) - 1) if ends[i] < k < ends[i + 2]]
+
+
 class Matcher:
     """Words to hits: only words that share a half with a term are walked; answers are kept for words met again."""
 
     def __init__(self, lexicon: list[str]):
         self.trie, self.known = Trie(lexicon), {}
+        self.longest = max(self.trie.length) + 2  # letters beyond these change no answer
         halves = set()
         for t in lexicon:
             b = t.rstrip("*").encode()
             k = len(b) // 2
             halves.add((b[:k], 0))
-            if len(t.rstrip("*")) >= FUZZY:
+            if len(t.rstrip("*")) >= (FUZZY_STEM if t.endswith("*") else FUZZY):
+                halves |= {(x, 0) for x in swapped(t.rstrip("*"), k)}
                 halves |= {(b[k:], at) for at in (k - 1, k, k + 1)} | {(b[k:], at) for at in (k - 2, k + 2) if len(b) != len(t.rstrip("*"))}
         self.looks = {}
         for h, at in halves:
@@ -137,11 +151,11 @@ class Matcher:
             k = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
             maybe[fits[hs[k] == h]] = True
         out, raw = np.zeros(len(s), np.int8), a.tobytes()
-        for i in np.flatnonzero(maybe & (e - s <= 64)).tolist():
-            w = raw[s[i] : e[i]]
+        for i in np.flatnonzero(maybe).tolist():
+            w = raw[s[i] : min(e[i], s[i] + 4 * self.longest)]
             got = self.known.get(w)
             if got is None:
-                got = self.trie.match(w.decode("utf-8", "replace"))
+                got = self.trie.match(w.decode("utf-8", "replace")[: self.longest], swaps=True)
                 if len(self.known) < 200_000:
                     self.known[w] = got
             out[i] = got
