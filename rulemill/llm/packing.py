@@ -5,10 +5,10 @@ cut, and the first piece is the short one).  The pieces' lengths form a histogra
 ``capacity`` sizes, whatever the corpus, and only that goes to the driver:
 
 1. multiplicative weights solve the covering program "every size as often as it occurs" over
-   configurations (multisets of sizes that fit): sizes that are behind get larger weights, and a knapsack
-   dynamic program prices the best configuration;
-2. configurations are used in whole sequences, rounded down; what is left over is packed by best fit
-   decreasing, and the driver keeps the better of this and best fit decreasing of everything;
+   configurations (multisets of sizes that fit) in fractions: sizes that are behind get larger prices, and a
+   knapsack dynamic program prices the configurations; the averaged prices prove a lower bound;
+2. uses are rounded to whole sequences, and what is left over is solved and rounded again; the last few
+   sequences, at most a twentieth, are priced one by one by a knapsack over the pieces left;
 3. the plan, a table of at most some thousand runs "pieces a..b of size s go to sequences q.. at offset o",
    goes back to the executors.  A piece finds its place from its rank among the pieces of its size, which
    comes from counts per (block, size), so no window spans a frequent size.
@@ -22,9 +22,10 @@ faster; texts with very long runs without a break, where that library is slow, g
 from __future__ import annotations
 
 import base64
-import bisect
+import math
 import re
 import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-ETA = 2.0  # how strongly sizes that are behind are preferred
+#: The program: phases of the first round, rounds, start sizes of a phase, price rate and the lag it is cut at.
+PHASES, ROUNDS, STARTS, RATE, LAG = 60, 24, 400, 0.002, 5
+RESIDUAL, SINGLES = 0.04, 600  # what may be left to be priced one by one: a share of all, and sequences
+Config = tuple[tuple[int, int], ...]
 CAPACITY, END_ID, MIN_BLOCKS, BLOCK_ROWS = 2048, 0, 64, 50_000
 SPECIAL = "<|endoftext|>"
 LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
@@ -90,111 +94,146 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, ids: bool = Fals
 # ---------------------------------------------------------------- the plan, on the driver
 
 
-def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each size stands in a configuration of the largest total value (dynamic program over the capacity)."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def price(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack over the capacity: the largest total value in each room, and the size taken last there (-1: leave one token)."""
+    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    fit = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        k = int(np.searchsorted(sizes, c, "right"))
-        best[c] = best[c - 1]
+        best[c], k = best[c - 1], fit[c]
         if k:
             v = value[:k] + best[c - sizes[:k]]
-            i = int(np.argmax(v))
-            if v[i] > best[c] + 1e-15:
+            i = k - 1 - int(v[::-1].argmax())  # of equal ones the largest: small sizes stay for closing gaps
+            if v[i] > best[c] + 1e-12:
                 best[c], take[c] = v[i], i
-    out, c = np.zeros(len(sizes), np.int64), capacity
+    return best, take
+
+
+def configuration(take: np.ndarray, sizes: np.ndarray, capacity: int, first: int) -> Config:
+    """The best priced configuration among those that hold the size number ``first``: (size number, times) in order."""
+    out, c = {first: 1}, capacity - int(sizes[first])
     while c > 0:
-        if take[c] < 0:
+        i = int(take[c])
+        if i < 0:
             c -= 1
         else:
-            out[take[c]] += 1
-            c -= sizes[take[c]]
+            out[i] = out.get(i, 0) + 1
+            c -= int(sizes[i])
+    return tuple(sorted(out.items()))
+
+
+@dataclass
+class Program:
+    """A fractional solution: how often each configuration is used, and the bound that its averaged prices prove."""
+
+    use: dict[Config, float]
+    bound: float
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, phases: int = PHASES) -> Program:
+    """The covering program "every size as often as it occurs, in the fewest sequences", by multiplicative weights.
+
+    A size's price is its share of the capacity times exp(rate * how far it is behind the even schedule); larger
+    sizes, which are harder to place, are priced up a little.  Each phase prices configurations by one knapsack
+    table and uses those that hold the sizes furthest behind, for its share of the sequences.  Prices divided by
+    their best configuration's are a feasible dual; so is their average over the phases, whose value bounds every packing
+    from below.
+    """
+    total = float((sizes * demand).sum()) / capacity
+    covered, dual, use = np.zeros(len(sizes)), np.zeros(len(sizes)), {}
+    for t in range(1, phases + 1):
+        gap = demand * (t / phases) - covered
+        lag = np.clip(gap * phases / demand, -LAG, LAG)
+        y = sizes / capacity * np.exp(RATE * (lag + 2 * LAG * sizes / capacity))
+        best, take = price(y, sizes, capacity)
+        dual += y / best[capacity] / phases
+        behind, room = np.maximum(gap, 0), total / phases
+        for i in np.argsort(-behind * sizes, kind="stable")[:STARTS].tolist():
+            if behind[i] <= 1e-9:
+                continue
+            config = configuration(take, sizes, capacity, i)
+            amount = min(behind[i] / dict(config)[i], room)
+            if amount <= 0:
+                break
+            use[config] = use.get(config, 0.0) + amount
+            room -= amount
+            for j, n in config:
+                behind[j] -= amount * n
+                covered[j] += amount * n
+    return Program(use, float(dual @ demand))
+
+
+def rounded(use: dict[Config, float], left: np.ndarray, rng) -> list[tuple[Config, int]]:
+    """Whole sequences from a fractional solution: each use rounded up or down at random, by its fraction, within what is left."""
+    out = []
+    for config in sorted(use, key=lambda c: (-use[c], c)):
+        n = int(use[config]) + (rng.random() < use[config] % 1)
+        n = min(n, *(int(left[i]) // times for i, times in config))
+        if n > 0:
+            out.append((config, n))
+            for i, times in config:
+                left[i] -= n * times
     return out
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 160) -> list[tuple[np.ndarray, int]]:
-    """A cover of the demand by configurations, by multiplicative weights with knapsack pricing, in whole steps.
+def fullest(sizes: list[int], left: list[int], capacity: int) -> dict[int, int]:
+    """Of the pieces left, the largest and those that fill its sequence best: a bounded knapsack at the sizes as prices.
 
-    A size's weight is its share of the capacity times exp(eta * the part of its demand that is still
-    uncovered); the configuration priced best is used for a step of sequences, rounded down so that no size is overshot.
+    Sets of reachable sums are bits of whole numbers, one set after each size, large sizes first.
     """
-    left, out = demand.astype(np.int64), []
-    step = max(1, int((sizes * demand).sum()) // capacity // rounds)
-    for _ in range(3 * rounds):
-        if not left.any():
+    top = max(i for i, n in enumerate(left) if n)
+    room, order = capacity - sizes[top], [i for i in range(top, -1, -1) if left[i]]
+    order = [i for i in order if sizes[i] <= room and left[i] - (i == top) > 0]
+    mask, reach = (1 << room + 1) - 1, [1]
+    for i in order:
+        r, n, k = reach[-1], min(left[i] - (i == top), room // sizes[i]), 1
+        while n > 0:
+            step = min(k, n)
+            r |= r << step * sizes[i] & mask
+            n, k = n - step, 2 * k
+        reach.append(r)
+        if r >> room & 1:
             break
-        weight = np.where(left > 0, sizes / capacity * np.exp(ETA * left / np.maximum(demand, 1)), 0.0)
-        x = np.minimum(knapsack(weight, sizes, capacity), left)  # never more of a size than is left of it
-        room = capacity - int((sizes * x).sum())
-        while room > 0:  # what that freed goes to the largest sizes that fit
-            k = np.flatnonzero((sizes <= room) & (left > x))
-            if not len(k):
-                break
-            i = k[-1]
-            more = min(room // int(sizes[i]), int(left[i] - x[i]))
-            x[i] += more
-            room -= more * int(sizes[i])
-        n = min(step, int((left[x > 0] // x[x > 0]).min()))
-        out.append((x, n))
-        left = left - n * x
+    at, out = reach[-1].bit_length() - 1, {top: 1}
+    for i, before in zip(reversed(order[: len(reach) - 1]), reversed(reach[:-1]), strict=True):
+        while not before >> at & 1:
+            at -= sizes[i]
+            out[i] = out.get(i, 0) + 1
     return out
 
 
-def best_fit_counts(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit decreasing over counts: like sequences are filled together, so the work follows the sizes, not the pieces."""
-    open_: dict[int, list[tuple[dict[int, int], int]]] = {}
-    rooms: list[int] = []
-    done: list[tuple[dict[int, int], int]] = []
-
-    def put(room: int, cfg: dict[int, int], n: int) -> None:
-        if n <= 0:
-            return
-        if room == 0:
-            done.append((cfg, n))
-            return
-        if room not in open_:
-            open_[room] = []
-            bisect.insort(rooms, room)
-        open_[room].append((cfg, n))
-
-    for size, many in sorted(zip(sizes.tolist(), demand.tolist(), strict=True), reverse=True):
-        while many > 0:
-            i = bisect.bisect_left(rooms, size)
-            if i == len(rooms):
-                per = capacity // size
-                full, rest = divmod(many, per)
-                put(capacity - per * size, {size: per}, full)
-                if rest:
-                    put(capacity - rest * size, {size: rest}, 1)
-                many = 0
-                continue
-            room = rooms[i]
-            cfg, n = open_[room].pop()
-            if not open_[room]:
-                del open_[room]
-                rooms.pop(i)
-            per = min(room // size, many)
-            k = min(n, many // per)
-            put(room, cfg, n - k)
-            put(room - per * size, {**cfg, size: cfg.get(size, 0) + per}, k)
-            many -= k * per
-    for room in list(open_):
-        done += open_[room]
-    return done
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how many sequences have each; together they hold the histogram exactly."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, report: dict | None = None) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how many sequences have each; together they hold the histogram exactly.
+
+    The program is solved and rounded, and what is left is a smaller program of the same kind, until it is less than
+    ``RESIDUAL`` of all and few enough sequences; the last ones are priced one by one.  ``report`` gets the bound, the
+    number of sequences, and the share of those priced one by one.
+    """
     sizes = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(s)] for s in sizes], np.int64)
-    if not len(sizes):
-        return []
-    out, left = [], demand.copy()
-    for x, n in configurations(sizes, demand, capacity):
-        out.append(({int(s): int(c) for s, c in zip(sizes, x, strict=True) if c}, n))
-        left = left - n * x
-    out += best_fit_counts(sizes, left, capacity)
-    other = best_fit_counts(sizes, demand, capacity)
-    return min(out, other, key=lambda p: sum(n for _, n in p))
+    left, out, bound, volume = demand.copy(), [], 0.0, int((sizes * demand).sum())
+    rng = np.random.default_rng(1)
+    for k in range(ROUNDS):
+        live = np.flatnonzero(left)
+        todo = int((sizes * left).sum())
+        if not len(live) or (k and todo <= min(RESIDUAL * volume, SINGLES * capacity)):
+            break
+        got = solve(sizes[live], left[live].astype(float), capacity, PHASES if not k else PHASES // 3)
+        bound = bound or max(got.bound, volume / capacity)
+        own = left[live]
+        out += [({int(sizes[live[i]]): n for i, n in config}, times) for config, times in rounded(got.use, own, rng)]
+        left[live] = own
+    singles, pool, stock = 0, sizes.tolist(), left.tolist()
+    while any(stock):
+        config = fullest(pool, stock, capacity)
+        times = min(stock[i] // n for i, n in config.items())
+        out.append(({pool[i]: n for i, n in config.items()}, times))
+        singles += times
+        for i, n in config.items():
+            stock[i] -= n * times
+    if report is not None:
+        n = int(sum(times for _, times in out))
+        report |= {"bound": math.ceil(bound - 1e-6), "sequences": n, "residual": float(singles / max(n, 1))}
+    return out
 
 
 def runs(configs: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
