@@ -6,11 +6,16 @@ A JVM row per token would cost far more than the texts, so documents are grouped
 packed, sorted array, and a shard answers each block with as small an array.  A frequent
 token occurs once per block in such an exchange, so no key is hot, and blocks and shards
 are plain shuffle keys: a lost executor costs a recomputation of its groups only.
+
+Blocks and shards grow with the square root of the input beyond ``ROOT_BYTES`` (``scale``), so the packets
+between them, blocks times shards, stay in proportion to the input; a task's memory grows with that root:
+8 MB blocks at 30 GB, 32 MB at 1 TB, 320 MB at 100 TB.
 """
 
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +33,8 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 384 << 10
 MIN_BLOCKS, MAX_SHARD_BYTES = 24, 12 << 20
+ROOT_BYTES = 64 << 30
+BOUND_ROWS = 1 << 20  # rows sampled for the bounds of blocks, at most
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +45,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where none is set in local mode (tests, bench)."""
     sc = spark.sparkContext
     had = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not had:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         had = tempfile.mkdtemp(prefix="rulemill-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", had)
     return had
@@ -84,28 +93,56 @@ def volume(df: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(r["n"]), int(r["b"] or 0)
 
 
+def scale(n_bytes: int) -> float:
+    """How much larger than at ROOT_BYTES blocks and shards are: both with the root, so packets stay in proportion."""
+    return max(1.0, math.sqrt(n_bytes / ROOT_BYTES))
+
+
 def block_count(n_rows: int, n_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(1, min(n_rows, max(MIN_BLOCKS, -(-n_bytes // block_bytes))))
+    return max(1, min(n_rows, max(MIN_BLOCKS, math.ceil(n_bytes / (block_bytes * scale(n_bytes))))))
 
 
 def hash_blocks(df: DataFrame, n_blocks: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(block, key, text): blocks by hash, the same on every recomputation."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.pmod(F.xxhash64(F.col(key), t), F.lit(n_blocks)).cast("int").alias("block"), F.col(key), t.alias("text"))
+    return spread(df.select(F.pmod(F.xxhash64(F.col(key), t), F.lit(n_blocks)).cast("int").alias("block"), F.col(key), t.alias("text")), n_blocks, "block")
+
+
+def bounds(df: DataFrame, n_blocks: int, key: str, text: str) -> np.ndarray:
+    """Keys that cut the table in ranges of about equal bytes, from a sample of at most BOUND_ROWS rows by hash."""
+    some = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), (F.coalesce(F.octet_length(text), F.lit(0)) + 32).cast("long").alias("b"))
+    n = df.count()
+    part = min(1.0, min(BOUND_ROWS, 400 * n_blocks) / max(n, 1))
+    t = some.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * BOUND_ROWS).toArrow()
+    k, b = t["k"].to_numpy(), t["b"].to_numpy()
+    order = np.argsort(k, kind="stable")
+    k, at = k[order], np.cumsum(b[order])
+    if not len(k):
+        return np.zeros(0, np.int64)
+    return np.unique(k[np.minimum(np.searchsorted(at, at[-1] * np.arange(1, n_blocks) / n_blocks), len(k) - 1)])
 
 
 def range_blocks(df: DataFrame, n_blocks: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, key, text): every key of a block is below every key of the next one; null keys are block -1."""
-    cuts = [(i + 1) / n_blocks for i in range(n_blocks - 1)]
-    bounds = df.agg(F.percentile_approx(key, cuts, 10 * n_blocks).alias("q")).first()["q"] if cuts else []
-    bounds = sorted(set(bounds or []))
-    at = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x < F.col(key)))
-    block = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at).cast("int")
-    return df.select(block.alias("block"), F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(block, key, text): every key of a block is below every key of the next one; null keys are in blocks below 0, by hash.
+
+    Rows of one key share a block, as they must.
+    """
+    cuts = bounds(df, n_blocks, key, text)
+
+    def number(batches):
+        for x in batches:
+            null = np.asarray(x["key"].is_null())
+            block = np.searchsorted(cuts, x["key"].fill_null(0).to_numpy(), "left").astype(np.int32)
+            block[null] = -1 - x["other"].to_numpy()[null]
+            yield pa.RecordBatch.from_arrays([pa.array(block), x["key"], x["text"]], names=["block", key, "text"])
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).cast("long").alias("key"), t.alias("text"), F.pmod(F.xxhash64(t), F.lit(n_blocks)).cast("int").alias("other"))
+    return spread(rows.mapInArrow(number, f"block int, {key} long, text string"), n_blocks, "block")
 
 
-PACKET = "block int, shard int, payload binary"
-PACKET_PA = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary())])
+PACKET = "block int, shard long, payload binary"
+PACKET_PA = pa.schema([("block", pa.int32()), ("shard", pa.int64()), ("payload", pa.binary())])
 
 
 def packets(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -113,16 +150,25 @@ def packets(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, PACKET_PA, strict=True)], schema=PACKET_PA)
 
 
+def carried(block: int, place: int, wide: int) -> int:
+    """The number, below 0, of a packet that a block sends to itself in the next round; ``wide`` places a block."""
+    return -1 - block * wide - place
+
+
 def shard_bits(n_bytes_total: int) -> int:
-    """log2 of the shards, so that what meets in one shard stays near MAX_SHARD_BYTES."""
-    return max(5, (max(1, n_bytes_total // MAX_SHARD_BYTES)).bit_length())
+    """log2 of the shards, so that what meets in one shard stays near MAX_SHARD_BYTES (times the scale)."""
+    return max(5, int(max(1, n_bytes_total // (MAX_SHARD_BYTES * scale(n_bytes_total)))).bit_length())
+
+
+def filled(edges: np.ndarray) -> list[tuple[int, int, int]]:
+    """(number, from, to) of the ranges between edges that are not empty."""
+    return [(s, int(edges[s]), int(edges[s + 1])) for s in np.flatnonzero(np.diff(edges)).tolist()]
 
 
 def split_shards(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) of sorted 64-bit keys by their top bits, empty ones left out."""
     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)) if bits else np.zeros(0, int)
-    edges = np.r_[0, cuts, len(keys)]
-    return [(s, int(edges[s]), int(edges[s + 1])) for s in range(1 << bits) if edges[s + 1] > edges[s]]
+    return filled(np.r_[0, cuts, len(keys)])
 
 
 def by_shard(t: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -139,12 +185,19 @@ def unpack_bits(replies: pa.Table, sizes: list[tuple[int, int, int]]) -> np.ndar
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
-def regroup(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
-    return df.groupBy(key).applyInArrow(f, schema)
+def spread(df: DataFrame, n_groups: int, key: str) -> DataFrame:
+    """Dealt by key over twice as many partitions as there are groups of some megabytes, so that tasks follow the data."""
+    return df.repartition(2 * n_groups, key)
+
+
+def regroup(df: DataFrame, key: str, f: Callable, schema: str, n_groups: int = 0) -> DataFrame:
+    return (spread(df, n_groups, key) if n_groups else df).groupBy(key).applyInArrow(f, schema)
 
 
-def cogroup(left: DataFrame, right: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(f, schema)
+def cogroup(blocks: DataFrame, replies: DataFrame, f: Callable, schema: str, n_blocks: int = 0) -> DataFrame:
+    """Each block with its replies; ``blocks`` comes from hash_blocks or range_blocks where n_blocks is given."""
+    right = spread(replies, n_blocks, "block") if n_blocks else replies
+    return blocks.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(f, schema)
 
 
 def block_id(t: pa.Table) -> int:
@@ -350,8 +403,8 @@ class Sketch:
 
     def __init__(self, n_keys: int, row: int, load: int = 6):
         self.bits = max(16, (max(1, n_keys)).bit_length() + load - 2)
-        self.shard_bits = max(5, (max(1, n_keys) // (4 << 20)).bit_length())
-        self.seed, self.first = U64(0xA0761D6478BD642F * (row + 1) & (1 << 64) - 1), row << 20
+        self.shard_bits = max(5, int(max(1, n_keys) // ((4 << 20) * scale(6 * n_keys))).bit_length())
+        self.seed, self.first = U64(0xA0761D6478BD642F * (row + 1) & (1 << 64) - 1), row << 40
 
     def cells(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys ^ self.seed) >> U64(64 - self.bits)).astype(np.int64)
@@ -370,8 +423,7 @@ class Sketch:
         return [(block, self.first + s, encode_sorted(x[a:b] - (s << (self.bits - self.shard_bits)))) for s, a, b in self.slices(x)]
 
     def slices(self, x: np.ndarray) -> list[tuple[int, int, int]]:
-        edges = np.r_[0, np.searchsorted(x, np.arange(1, 1 << self.shard_bits) << (self.bits - self.shard_bits)), len(x)]
-        return [(s, int(edges[s]), int(edges[s + 1])) for s in range(1 << self.shard_bits) if edges[s + 1] > edges[s]]
+        return filled(np.r_[0, np.searchsorted(x, np.arange(1, 1 << self.shard_bits) << (self.bits - self.shard_bits)), len(x)])
 
     def repeated(self, keys: np.ndarray, replies: pa.Table) -> np.ndarray:
         """For each key whether its merged counter is 2 or more: never false for a key that is there twice."""

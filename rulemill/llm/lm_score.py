@@ -6,7 +6,9 @@ arc with weight max(c - D, 0) / c(context), and a failure arc leads to the short
 weight that is left, 1 - sum over arcs of (c - D) / c(context).  The last state has an arc for every
 known token, (1 - u) c / N, and one for an unknown token, u = (n1 + 0.5) / (N + 1) with n1 tokens seen
 once (Good-Turing), so the probabilities over known tokens and "unknown" sum to one in every state.
-A document is read from left to right: the state is the context just read, and log10 probabilities add up.
+A document is read from left to right in one traversal: the state is the context just read; a token follows its arc,
+or failure arcs until there is one, and the log10 weights met add up (``Automaton``).  An arc's weight includes the
+failure arc's share of the next lower one, so the model is interpolated absolute discounting.
 
 The automaton grows with the corpus, so no task holds all of it.  Blocks of documents (common.py) count
 their n-grams; shards of the n-gram space add the counts and answer each block with the part of the
@@ -25,6 +27,7 @@ base probability of which is then 1; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -84,12 +87,89 @@ def distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return u, np.bincount(which, weight, len(u)).astype(np.int64), which
 
 
+class Automaton:
+    """States 0 (no context), 1, ...; arcs by (state, token), each with log weight, target and order; failure arcs.
+
+    State 0 has an arc for every token; any other state without one for a token fails over, at a weight, to
+    the state of the shorter context.
+    """
+
+    FEW = 12  # texts that are read one by one once no more are left
+
+    def __init__(self, n_tokens: int, root: np.ndarray, root_to: np.ndarray, fail_weight: np.ndarray, fail: np.ndarray, keys: np.ndarray, weight: np.ndarray, to: np.ndarray, level: np.ndarray):
+        order = np.argsort(keys)
+        self.n, self.root, self.root_to, self.fail_weight, self.fail = n_tokens, root, root_to, fail_weight, fail
+        self.keys, self.weight, self.to, self.level = np.r_[keys[order], np.iinfo(np.int64).max], weight[order], to[order], level[order]
+
+    def traverse(self, tokens: np.ndarray, counts: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text and the orders above one that its arcs had, in one pass from left to right.
+
+        All texts are read side by side, one token a step, each with its own state.
+        """
+        first = np.cumsum(counts) - counts
+        order = np.argsort(-counts, kind="stable")
+        at, ends = first[order], counts[order]
+        state, score, used = begin[order], np.zeros(len(counts)), np.zeros(len(counts), np.int64)
+        live = np.searchsorted(-ends, -np.arange(int(ends.max(initial=0)) + 1), "left")  # texts longer than each step
+        step = 0
+        while step < len(live) and live[step] > self.FEW:
+            n = live[step]
+            self._read(tokens[at[:n] + step], state[:n], score[:n], used[:n])
+            step += 1
+        for i in range(live[step] if step < len(live) else 0):
+            state[i], score[i], used[i] = self._rest(tokens[at[i] + step : at[i] + ends[i]], int(state[i]), float(score[i]), int(used[i]))
+        out, arcs = np.empty(len(counts)), np.empty(len(counts), np.int64)
+        out[order], arcs[order] = score, used
+        return out, arcs
+
+    def _read(self, token: np.ndarray, state: np.ndarray, score: np.ndarray, used: np.ndarray) -> None:
+        todo = np.arange(len(token))
+        while len(todo):
+            s, t = state[todo], token[todo]
+            key = s * self.n + t
+            k = np.searchsorted(self.keys, key)
+            hit = (self.keys[k] == key) & (s > 0)
+            arc, own = k[hit], todo[hit]
+            score[own] += self.weight[arc]
+            used[own] += self.level[arc]
+            state[own] = self.to[arc]
+            end = s == 0
+            own, t = todo[end], t[end]
+            score[own] += self.root[t]
+            state[own] = self.root_to[t]
+            miss = ~hit & ~end
+            own = todo[miss]
+            score[own] += self.fail_weight[s[miss]]
+            state[own] = self.fail[s[miss]]
+            todo = own
+
+    def _rest(self, tokens: np.ndarray, state: int, score: float, used: int) -> tuple[int, float, int]:
+        keys, weight, to, level = memoryview(self.keys), memoryview(self.weight), memoryview(self.to), memoryview(self.level)
+        root, root_to, fail, fail_weight = memoryview(self.root), memoryview(self.root_to), memoryview(self.fail), memoryview(self.fail_weight)
+        for t in tokens.tolist():
+            while state:
+                key = state * self.n + t
+                k = bisect_left(keys, key)
+                if keys[k] == key:
+                    score += weight[k]
+                    used += level[k]
+                    state = to[k]
+                    break
+                score += fail_weight[state]
+                state = fail[state]
+            else:
+                score += root[t]
+                state = root_to[t]
+        return state, score, used
+
+
 def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
     n_rows, n_bytes = C.volume(docs)
-    blocks = C.hash_blocks(docs, C.block_count(n_rows, n_bytes, BLOCK_BYTES))
+    n_blocks = C.block_count(n_rows, n_bytes, BLOCK_BYTES)
+    blocks = C.hash_blocks(docs, n_blocks)
     sketch = C.Sketch(n_bytes // 6 * (order - 1), 0)
     bits, bits_ctx = C.shard_bits(n_bytes // 2), C.shard_bits(n_bytes // 4)
-    WORDS, GRAMS, CTX = 1 << 25, 2 << 25, 3 << 25  # shard numbers of the three rounds
+    WORDS, GRAMS, CTX = 1 << 40, 2 << 40, 3 << 40  # shard numbers of the three rounds
 
     wide = 2 * (1 << bits) + 1
 
@@ -162,6 +242,54 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
             self.sum_c = np.bincount(to, self.total[arcs[own]], len(self.live)).astype(np.int64)
             self.n_arcs = np.bincount(to, minlength=len(self.live))
 
+        def automaton(self, held_mass: np.ndarray) -> Automaton:
+            """The part of the automaton that this block's texts can reach; held_mass is the weight of a state's arcs times c(context)."""
+            per, states = self.per, len(self.live) + 1
+            unk = (self.n1 + 0.5) / (self.n + 1) if self.n else 1.0
+            p1 = np.where(self.word_total > 0, (1 - unk) * self.word_total / max(self.n, 1), unk)
+            seen, fail = np.ones(states), np.zeros(states, np.int64)
+            for k in range(order - 1):
+                at = self.ctx_at[k * per : (k + 1) * per]
+                ok = at >= 0
+                seen[1 + at[ok]] = self.seen[k][ok]
+                if k:
+                    fail[1 + at[ok]] = 1 + self.ctx_at[(k - 1) * per : k * per][ok]
+            left = np.ones(states)
+            left[1:] = 1 - held_mass / seen[1:]
+            reached = []  # the state after each token, if the arc that reads it is of order k + 1
+            nxt = np.zeros(per, np.int64)
+            for k in range(order):
+                if k < order - 1:
+                    at = np.r_[self.ctx_at[k * per + 1 : (k + 1) * per], np.int32(-1)].astype(np.int64)
+                    nxt = np.where(at >= 0, 1 + at, nxt)
+                reached.append(nxt)
+            root_to = np.zeros(len(self.words), np.int64)
+            root_to[self.word_at] = reached[0]
+            weight, keys, values, to, level = np.zeros(len(self.high)), [], [], [], []
+            where = np.zeros(len(self.high), np.int64)
+            where[self.high_at] = np.arange(len(self.high_at))  # one place for each distinct n-gram
+            kept = np.flatnonzero((self.total >= 2) & (self.ctx_at[where] >= 0)) if len(where) else where
+            for k in range(order - 1):
+                own = kept[where[kept] // per == k]
+                i, state = where[own] - k * per, 1 + self.ctx_at[where[own]].astype(np.int64)
+                # a kept n-gram's last tokens are a kept n-gram too, so the next lower arc is there
+                lower = p1[self.word_at[i]] if not k else weight[self.high_at[(k - 1) * per + i]]
+                weight[own] = (self.total[own] - discount) / seen[state] + left[state] * lower
+                keys.append(state * len(self.words) + self.word_at[i])
+                values.append(weight[own])
+                to.append(reached[k + 1][i])
+                level.append(np.full(len(own), k + 1))
+            join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+            return Automaton(len(self.words), np.log10(p1), root_to, np.log10(left), fail, join(keys, np.int64), np.log10(join(values, float)), join(to, np.int64), join(level, np.int64))
+
+        def begin(self) -> np.ndarray:
+            """The state of each text before its first token: the longest live context of a document's start."""
+            first, out = np.cumsum(self.counts) - self.counts, np.zeros(len(self.counts), np.int64)
+            for k in range(order - 1):
+                at = self.ctx_at[k * self.per + first].astype(np.int64)
+                out = np.where(at >= 0, 1 + at, out)
+            return out
+
         def pack_words(self):
             out = []
             for s, (a, b) in self.cut_all(self.words):
@@ -180,7 +308,7 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
         flags = sketch.repeated(b.high, replies)
         u, n = b.high[flags], b.high_n[flags]
         out = b.pack_words() + [(b.id, GRAMS + s, np.int64(y - x).tobytes() + u[x:y].tobytes() + pack_counts(n[x:y])) for s, x, y in C.split_shards(u, bits)]
-        return C.packets([*out, (b.id, -1 - b.id, np.packbits(flags).tobytes())])
+        return C.packets([*out, (b.id, C.carried(b.id, 0, 1), np.packbits(flags).tobytes())])
 
     def add(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
@@ -211,9 +339,9 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
         if not t.num_rows:
             return C.packets([])
         b, got = Block(t), dict(C.by_shard(replies))
-        b.kept(got, np.unpackbits(np.frombuffer(got[-1 - b.id], np.uint8), count=len(b.high)).astype(bool))
+        b.kept(got, np.unpackbits(np.frombuffer(got[C.carried(b.id, 0, 1)], np.uint8), count=len(b.high)).astype(bool))
         out = [(b.id, CTX + s, np.int64(y - x).tobytes() + b.live[x:y].tobytes() + pack_counts(b.sum_c[x:y]) + pack_counts(b.n_arcs[x:y])) for s, x, y in C.split_shards(b.live, bits_ctx)]
-        out += [(b.id, -1 - b.id * wide - place(s), v) for s, v in got.items()]  # carried on for the traversal
+        out += [(b.id, C.carried(b.id, place(s), wide), v) for s, v in got.items()]  # carried on for the traversal
         return C.packets(out)
 
     def sums(t: pa.Table) -> pa.Table:
@@ -250,30 +378,18 @@ def lm_score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) ->
             c, at = unpack_counts(got[CTX + s], y - x)
             cs.append(c)
             arcs.append(unpack_counts(got[CTX + s], y - x, at)[0])
-        sum_c, n_arcs = np.concatenate(cs), np.concatenate(arcs)
-        held_mass = sum_c - discount * n_arcs  # the weight of a context's arcs, times c(context)
-        c1 = b.word_total[b.word_at]
-        unk = (b.n1 + 0.5) / (b.n + 1) if b.n else 1.0
-        p = np.where(c1 > 0, (1 - unk) * c1 / max(b.n, 1), unk)
-        per, used = b.per, np.zeros(b.per, np.int64)
-        for k in range(order - 1):  # from the shortest context up: an arc if there is one, and the failure arc's share
-            at, seen = b.ctx_at[k * per : (k + 1) * per], np.maximum(b.seen[k], 1)
-            live = at >= 0
-            total = b.total[b.high_at[k * per : (k + 1) * per]]
-            arc = live & (total >= 2)
-            mass = np.zeros(per)
-            mass[live] = held_mass[at[live]]
-            p = np.where(arc, (total - discount) / seen, 0.0) + (1 - mass / seen) * p
-            used += arc
+        machine = b.automaton(np.concatenate(cs) - discount * np.concatenate(arcs))
+        score, used = machine.traverse(b.word_at, b.counts, b.begin())
         first_ = np.cumsum(b.counts) - b.counts
-        base = np.log10((c1 + ADD) / (b.n + ADD * (b.v + 1)))
-        add_up = lambda x: np.add.reduceat(x, first_)
-        return pa.table([b.ids, b.held, b.counts, add_up((c1 > 0).astype(np.int64)), np.full(len(b.ids), b.n), add_up(base), add_up(np.log10(p)), add_up(used)], schema=RESULT_PA)
-
-    one = C.regroup(C.regroup(blocks, "block", first, C.PACKET), "shard", C.sketch_merge, C.PACKET)
-    two = C.regroup(C.cogroup(blocks, one, second, C.PACKET), "shard", add, C.PACKET)
-    three = C.regroup(C.cogroup(blocks, two, third, C.PACKET), "shard", sums, C.PACKET)
-    return C.cogroup(blocks, three, last, RESULT)
+        c1 = b.word_total[b.word_at]
+        base = np.add.reduceat(np.log10((c1 + ADD) / (b.n + ADD * (b.v + 1))), first_)
+        known = np.add.reduceat((c1 > 0).astype(np.int64), first_)
+        return pa.table([b.ids, b.held, b.counts, known, np.full(len(b.ids), b.n), base, score, used], schema=RESULT_PA)
+
+    one = C.regroup(C.regroup(blocks, "block", first, C.PACKET), "shard", C.sketch_merge, C.PACKET, n_blocks)
+    two = C.regroup(C.cogroup(blocks, one, second, C.PACKET, n_blocks), "shard", add, C.PACKET, n_blocks)
+    three = C.regroup(C.cogroup(blocks, two, third, C.PACKET, n_blocks), "shard", sums, C.PACKET, n_blocks)
+    return C.cogroup(blocks, three, last, RESULT, n_blocks)
 
 
 RESULT_PA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_arcs", pa.int64())])

@@ -14,8 +14,8 @@ input.  Three passes over blocks of documents (see common.py), in one plan:
 
 Defined results: null or empty text has no words, n_words 0 and the hash of the empty string; a text
 of fewer than ``window`` words keeps all; rows with the same doc_id do not remove one another's words;
-a null doc_id is smaller than no id, so such a row neither loses nor takes words; an empty table gives
-no rows; other columns are ignored.
+a null doc_id is smaller than no id, so such a row neither loses nor takes words (these rows are dealt over
+blocks of their own by hash); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def _first_ids(ids: np.ndarray, w: np.ndarray, doc: np.ndarray):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of every document."""
     n_rows, n_bytes = C.volume(docs)
-    blocks = C.range_blocks(docs, C.block_count(n_rows, n_bytes))
+    n_blocks = C.block_count(n_rows, n_bytes)
+    blocks = C.range_blocks(docs, n_blocks)
     rows = [C.Sketch(n_bytes // 6, r, load=5) for r in range(depth)]
     bits = C.shard_bits(n_bytes // 2)
 
@@ -74,7 +75,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, w
             left &= s.repeated(w, replies)
         b, w2 = C.block_id(t), w[left]
         out = [(b, s, w2[x:y].tobytes()) for s, x, y in C.split_shards(w2, bits)]
-        return C.packets([*out, (b, -1 - b, np.packbits(left).tobytes())])
+        return C.packets([*out, (b, C.carried(b, 0, 1), np.packbits(left).tobytes())])
 
     def group(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
@@ -100,7 +101,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, w
             ids = t["doc_id"].to_numpy()
             u, least, _, k = _first_ids(ids, w, doc)
             got = dict(C.by_shard(replies))
-            left = np.unpackbits(np.frombuffer(got[-1 - b], np.uint8), count=len(u)).astype(bool)
+            left = np.unpackbits(np.frombuffer(got[C.carried(b, 0, 1)], np.uint8), count=len(u)).astype(bool)
             earlier = np.zeros(len(u), bool)
             earlier[left] = C.unpack_bits(replies, C.split_shards(u[left], bits))
             removed = C.cover(at[earlier[k] | (ids[doc] > least[k])], window, len(removed))
@@ -118,9 +119,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, w
             kept.append(k.decode() if with_text else "")
         return _result(t["doc_id"], counts, n_removed, digests, with_text, kept)
 
-    one = C.regroup(C.regroup(blocks, "block", first, C.PACKET), "shard", C.sketch_merge, C.PACKET)
-    two = C.regroup(C.cogroup(blocks, one, second, C.PACKET), "shard", group, C.PACKET)
-    return C.cogroup(blocks, two, last, KEPT if with_text else RESULT)
+    one = C.regroup(C.regroup(blocks, "block", first, C.PACKET), "shard", C.sketch_merge, C.PACKET, n_blocks)
+    two = C.regroup(C.cogroup(blocks, one, second, C.PACKET, n_blocks), "shard", group, C.PACKET, n_blocks)
+    return C.cogroup(blocks, two, last, KEPT if with_text else RESULT, n_blocks)
 
 
 def _result(ids, counts, removed, digests, with_text: bool, kept=()) -> pa.Table:

@@ -117,7 +117,8 @@ def _all(parts: list[Piece], name: str, dtype=C.U64) -> np.ndarray:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every document."""
     n_rows, n_bytes = C.volume(docs)
-    blocks = C.hash_blocks(docs, C.block_count(n_rows, n_bytes))
+    n_blocks = C.block_count(n_rows, n_bytes)
+    blocks = C.hash_blocks(docs, n_blocks)
     bits1, bits2 = C.shard_bits(n_bytes * 2 // 5), C.shard_bits(n_bytes)
 
     def first(t: pa.Table) -> pa.Table:
@@ -186,7 +187,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         code, which = codes(parts, got)
         u, twice, _, _ = asked(parts, code, which)
         out = [(b, k, u[x:y].tobytes() + np.packbits(twice[x:y]).tobytes()) for k, x, y in C.split_shards(u, bits2)]
-        out += [(b, -1 - b * (1 << bits1) - k, v) for k, v in got.items()]  # what the block knows already goes on to the last round
+        out += [(b, C.carried(b, k, 1 << bits1), v) for k, v in got.items()]  # what the block knows already goes on to the last round
         return C.packets(out)
 
     def rerank(t: pa.Table) -> pa.Table:
@@ -239,9 +240,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         cols = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n_bytes_, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(cols | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
-    one = C.regroup(C.regroup(blocks, "block", first, C.PACKET), "shard", rank, C.PACKET)
-    two = C.regroup(C.cogroup(blocks, one, second, C.PACKET), "shard", rerank, C.PACKET)
-    return C.cogroup(blocks, two, last, KEPT if with_text else RESULT)
+    one = C.regroup(C.regroup(blocks, "block", first, C.PACKET), "shard", rank, C.PACKET, n_blocks)
+    two = C.regroup(C.cogroup(blocks, one, second, C.PACKET, n_blocks), "shard", rerank, C.PACKET, n_blocks)
+    return C.cogroup(blocks, two, last, KEPT if with_text else RESULT, n_blocks)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
