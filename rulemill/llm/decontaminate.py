@@ -1,19 +1,21 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document, as search engines do it: every task builds, for the texts at hand,
-the postings (document, position) of the terms that occur in the benchmark, sorted by term; positions of
-other terms are never needed and not stored.  Queries are the benchmark's items:
+*Index* (``build``): documents are cut in segments of about ``SEGMENT_BYTES``; a segment holds its dictionary, the
+sorted fingerprints of its words, and for each word the posting list of its positions in order.  Segments are
+written as a table, once, whatever the benchmark; tokens are read from texts here and nowhere else.
 
-1. one pass counts, over all documents, how often each benchmark term occurs (the index's dictionary);
-2. of every test window (``window`` consecutive words; a shorter item is one window) the rarest term is its
-   *pivot*, so a window is looked up by the shortest of its posting lists;
-3. in each task a pivot's postings, less the pivot's offset in the item, are candidate alignments; the lists
-   of the other terms, shifted by their offsets, are intersected with them by rising frequency, and what is
-   left are exact phrase matches.  Alignments that keep most of a window's terms, but not all, are
-   proximity matches (``n_near``): at least ``near`` of the window's words in place.
+*Search* (``search``), over the table of segments only, in slices of at most ``slice_words`` words of benchmark windows,
+one after the other, so what a task gets is bounded whatever the benchmark:
 
-The benchmark goes to every task, in slices of at most ``slice_words`` words; a larger benchmark takes more
-passes, whose hits are then united, so what is broadcast is bounded by that parameter.
+1. the dictionaries are looked up, which gives the frequency of every benchmark term over all documents;
+2. of every test window (``window`` consecutive words; a shorter item is one window) the terms are ordered by
+   frequency, rarest first.  A window that keeps ``near`` words in place keeps one of its window - near + 1
+   rarest, so the lists of these, less their offsets, hold all candidate alignments of it;
+3. the lists of the other terms, less their offsets, are intersected with the candidates, rarest first; an
+   alignment that has missed too many lists goes.  What is on all lists is an exact phrase match; what is on at
+   least ``near`` lists, but not on all, is a proximity match (``n_near``; short windows have none).
+
+Hits, of the few documents that have any, are united by document over the slices; one path serves any benchmark.
 
 Defined results: a null text has no words; an item without words never matches; repeated items with one
 item_id count once in n_items; repeated documents are judged each; empty tables give no rows, or no hits;
@@ -27,19 +29,65 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, SHARE, NEAR, SLICE_WORDS = 13, 20, 10, 2_000_000
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
-RESULT_PA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("n_near", pa.int64())])
+WINDOW, SHARE, NEAR = 13, 20, 10
+SLICE_WORDS = 1_000_000  # words of the windows of a slice: some 20 MB in a task
+SEGMENT_BYTES = 2 << 20
+SEGMENT = "segment long, ids array<long>, lengths array<int>, terms binary, ends binary, places binary"
+SEGMENT_PA = pa.schema([("segment", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.binary()), ("ends", pa.binary()), ("places", pa.binary())])
+HIT = "segment long, place int, bits binary, items array<string>, n_near long"
+HIT_PA = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("bits", pa.binary()), ("items", pa.list_(pa.string())), ("n_near", pa.int64())])
+
+
+# ---------------------------------------------------------------- the index
+
+
+def build(docs: DataFrame) -> DataFrame:
+    """The segments of the index, written: document ids and lengths, terms in order, where their lists end, and the positions."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for i, j in C.pieces(C.text_bytes(b["text"])[1], SEGMENT_BYTES):
+                h, counts = C.word_hashes(b["text"].slice(i, j - i), C.NOT_ALNUM, lower=True)
+                order = np.argsort(h, kind="stable")
+                s = h[order]
+                last = np.flatnonzero(np.r_[s[1:] != s[:-1], np.ones(min(1, len(s)), bool)])
+                row = [[number], [b["doc_id"].slice(i, j - i).to_pylist()], [counts.astype(np.int32)], [s[last].tobytes()], [(last + 1).astype(np.uint32).tobytes()], [order.astype(np.uint32).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, SEGMENT_PA, strict=True)], schema=SEGMENT_PA)
+                number += 1
+
+    return C.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text")).mapInArrow(run, SEGMENT))
+
+
+class Segment:
+    """A segment as read: ``postings(term)`` are the positions, in order, at which a term stands."""
+
+    def __init__(self, terms: bytes, ends: bytes, places: bytes = b""):
+        self.terms, self.ends = np.frombuffer(terms, C.U64), np.frombuffer(ends, np.uint32).astype(np.int64)
+        self.places = np.frombuffer(places, np.uint32)
+
+    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the list of each of some terms begins, and its length (0: the term does not occur)."""
+        if not len(self.terms) or not len(terms):
+            return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        there = self.terms[at] == terms
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        return begin, np.where(there, self.ends[at] - begin, 0)
+
+
+# ---------------------------------------------------------------- the benchmark
 
 
 @dataclass
 class Tests:
-    """A slice of the benchmark: terms in order; windows as rows of term numbers (-1 past a short window), their items."""
+    """A slice of the benchmark: terms in order; windows as rows of term numbers (-1 past a short window), their items and lengths."""
 
     terms: np.ndarray
     words: np.ndarray
@@ -48,196 +96,188 @@ class Tests:
     lengths: np.ndarray
 
 
-def read_tests(rows: list, window: int) -> Tests:
-    h, counts = C.word_hashes(pa.array([r["text"] or "" for r in rows], pa.string()), C.NOT_ALNUM, lower=True)
+def read_tests(rows: list[tuple[str, str]], window: int) -> Tests:
+    """Distinct windows of each item from (name, text)."""
+    names = sorted({name for name, _ in rows})
+    number = {name: i for i, name in enumerate(names)}
+    h, counts = C.word_hashes(pa.array([text for _, text in rows], pa.string()), C.NOT_ALNUM, lower=True)
     terms = C.uniq(h)
     at = np.searchsorted(terms, h)
-    words, items = [], []
+    words, items = [np.zeros((0, window), np.int64)], [np.zeros(0, np.int64)]
     edges = np.r_[0, np.cumsum(counts)]
-    for i, n in enumerate(counts):
+    for i, n in enumerate(counts.tolist()):
         own = at[edges[i] : edges[i + 1]]
-        for k in range(max(0, n - window) + 1 if n else 0):
-            w = own[k : k + window]
-            words.append(np.r_[w, np.full(window - len(w), -1)])
-            items.append(i)
-    words_ = np.array(words, np.int64).reshape(-1, window)
-    return Tests(terms, words_, np.array(items, np.int64), [str(r["item_id"]) for r in rows], (words_ >= 0).sum(1))
-
-
-@dataclass
-class Lookup:
-    """The windows by pivot: for each the pivot's term and offset and the order in which the other lists are intersected."""
-
-    tests: Tests
-    first: np.ndarray
-    by_pivot: np.ndarray
-    order: np.ndarray
-
-
-def lookup(tests: Tests, frequency: np.ndarray) -> Lookup:
-    f = np.where(tests.words >= 0, frequency[tests.words], np.iinfo(np.int64).max)
-    order = np.argsort(f, axis=1, kind="stable")
-    pivot = np.take_along_axis(tests.words, order[:, :1], 1)[:, 0] if len(f) else np.zeros(0, np.int64)
-    by = np.argsort(pivot, kind="stable")
-    return Lookup(tests, np.searchsorted(pivot[by], np.arange(len(tests.terms) + 1)), by, order)
-
-
-def document_terms(text, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """The benchmark term at every word of all texts (-1: none), and the words of each text."""
-    h, counts = C.word_hashes(text, C.NOT_ALNUM, lower=True)
-    if not len(tests.terms):
-        return np.full(len(h), -1), counts
-    table, shift = _slots(tests.terms)
-    k = table[(h >> shift).astype(np.int64)]
-    out = np.full(len(h), -1)
-    for step in range(int(np.diff(np.flatnonzero(np.r_[True, np.diff(tests.terms >> shift) > 0, True])).max(initial=1))):
-        at = np.minimum(k + step, len(tests.terms) - 1)
-        out = np.where((k >= 0) & (tests.terms[at] == h), at, out)
-    return out, counts
-
-
-def _slots(terms: np.ndarray) -> tuple[np.ndarray, np.uint64]:
-    """The first term of each value of a hash's top bits, so that a lookup is one read."""
-    bits = max(8, len(terms).bit_length() + 3)
-    shift = C.U64(64 - bits)
-    table = np.full(1 << bits, -1, np.int64)
-    top = (terms >> shift).astype(np.int64)
-    table[top[::-1]] = np.arange(len(terms))[::-1]
-    return table, shift
-
-
-def matches(term: np.ndarray, counts: np.ndarray, look: Lookup, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Exact matches as (first word, window) and proximity matches as (first word, window)."""
-    t, window = look.tests, look.order.shape[1]
-    places = np.flatnonzero(term >= 0)  # the postings, then sorted by term
-    places = places[np.argsort(term[places], kind="stable")]
-    terms = term[places]
-    n = look.first[terms + 1] - look.first[terms]
-    keep = n > 0
-    places, terms, n = places[keep], terms[keep], n[keep]
-    at = np.repeat(places, n)
-    w = look.by_pivot[np.repeat(look.first[terms], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-    start = at - look.order[w, 0]
-    doc = np.repeat(np.arange(len(counts)), counts)
-    ok = (start >= 0) & (start + t.lengths[w] <= len(term))
-    start, w = start[ok], w[ok]
-    ok = doc[start] == doc[start + t.lengths[w] - 1]
-    start, w = start[ok], w[ok]
-    in_place = np.ones(len(w), np.int64)
-    for k in range(1, window):
-        off = look.order[w, k]
-        live = k < t.lengths[w]
-        same = ~live | (term[np.minimum(start + off, len(term) - 1)] == t.words[w, off])
-        in_place += same & live
-        alive = in_place + (t.lengths[w] - 1 - k).clip(0) >= np.minimum(near, t.lengths[w])
-        start, w, in_place = start[alive], w[alive], in_place[alive]
-    exact = in_place == t.lengths[w]
-    return start[exact], w[exact], start[~exact], w[~exact]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, near: int = NEAR, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every document."""
-    n_words = int(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
-    n_slices = max(1, -(-n_words // slice_words))
-    names = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    hits: DataFrame | None = None
-    for k in range(n_slices):
-        part = names if n_slices == 1 else names.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k)
-        tests = read_tests(sorted(part.collect(), key=lambda r: (str(r["item_id"]), r["text"])), window)  # at most slice_words words
-        got = _slice(docs, tests, window, share, near, n_slices == 1)
-        hits = got if hits is None else hits.unionByName(got)
-    return hits if n_slices == 1 else _unite(hits, share, n_slices)
-
-
-def _frequency(docs: DataFrame, tests: Tests) -> np.ndarray:
-    n = len(tests.terms)
+        if n >= window:
+            words.append(np.lib.stride_tricks.sliding_window_view(own, window))
+        elif n:
+            words.append(np.r_[own, np.full(window - n, -1)][None])
+        items.append(np.full(max(n - window, 0) + 1 if n else 0, number[rows[i][0]]))
+    both = np.unique(np.column_stack([np.concatenate(items), np.concatenate(words)]), axis=0)
+    return Tests(terms, both[:, 1:], both[:, 0], names, (both[:, 1:] >= 0).sum(1))
+
+
+def slices(benchmark: DataFrame, window: int, slice_words: int):
+    """The benchmark in turn, item after item, long items in parts that overlap by a window less one word."""
+    rows, held = [], 0
+    for r in benchmark.select(F.col("item_id").cast("string").alias("name"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL").toLocalIterator():
+        a = C.LOWER[np.frombuffer(r["text"].encode(), np.uint8)]
+        s, e, _ = C.word_spans(a, np.array([0, len(a)]), C.NOT_ALNUM)
+        for i in range(0, max(len(s) - window, 0) + 1, slice_words):
+            j = min(len(s), i + slice_words + window - 1)
+            if j > i:
+                rows.append((r["name"], a[s[i] : e[j - 1]].tobytes().decode()))
+                held += j - i
+            if held >= slice_words:
+                yield read_tests(rows, window)
+                rows, held = [], 0
+    if rows:
+        yield read_tests(rows, window)
+
+
+# ---------------------------------------------------------------- the search
+
+
+def frequencies(index: DataFrame, tests: Tests) -> np.ndarray:
+    """How often each term occurs in all documents, from the dictionaries alone."""
 
     def count(batches):
-        total = np.zeros(n + 1, np.int64)
+        total = np.zeros(len(tests.terms), np.int64)
         for b in batches:
-            total += np.bincount(document_terms(b["text"], tests)[0] + 1, minlength=n + 1)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(n)), "n": pa.array(total[1:])})
-
-    out = np.zeros(n, np.int64)
-    if n:
-        for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-            out[r["term"]] = r["n"]
+            for terms, ends in zip(b["terms"].to_pylist(), b["ends"].to_pylist(), strict=True):
+                total += Segment(terms, ends).find(tests.terms)[1]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
+
+    out = np.zeros(len(tests.terms), np.int64)
+    got = index.select("terms", "ends").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the slice
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def _slice(docs: DataFrame, tests: Tests, window: int, share: int, near: int, alone: bool) -> DataFrame:
-    look = lookup(tests, _frequency(docs, tests))
+def spread_out(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] of them, then those from begin[1] on, and so forth."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def matches(segment: Segment, counts: np.ndarray, tests: Tests, order: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Alignments as (first position, window, whether all words are in place) of all windows that keep ``near`` words or more."""
+    window, n_words = order.shape[1], int(counts.sum())
+    begin, many = segment.find(tests.terms)
+    # all postings of the benchmark's terms in one order, by term and position: lists are slices of it
+    keys = np.repeat(np.arange(len(many)), many) * n_words + segment.places[spread_out(begin, many)]
+    start_of = np.cumsum(many) - many
+    need = np.where(tests.lengths == window, near, tests.lengths)
+    starts, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(window - near + 1):  # the candidates: shifted lists of the rarest terms
+        own = np.flatnonzero(k < tests.lengths - need + 1)
+        off = order[own, k]
+        term = tests.words[own, off]
+        n = many[term]
+        at = keys[spread_out(start_of[term], n)] - np.repeat(term, n) * n_words if len(keys) else np.zeros(0, np.int64)
+        starts.append(at - np.repeat(off, n))
+        windows.append(np.repeat(own, n))
+    start, w = np.concatenate(starts), np.concatenate(windows)
+    ok = (start >= 0) & (start + tests.lengths[w] <= n_words)
+    start, w = start[ok], w[ok]
+    doc = np.repeat(np.arange(len(counts)), counts)
+    ok = doc[start] == doc[start + tests.lengths[w] - 1]
+    both = C.uniq((w[ok] * n_words + start[ok]).astype(C.U64)).astype(np.int64)
+    w, start = both // max(n_words, 1), both % max(n_words, 1)
+    missed = np.zeros(len(w), np.int64)
+    for k in range(window):  # intersect the lists, the rarest first
+        live = k < tests.lengths[w]
+        off = order[w, k]
+        key = tests.words[w, off] * n_words + start + off
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        missed += live & (keys[at] != key)
+        stay = missed <= tests.lengths[w] - need[w]
+        start, w, missed = start[stay], w[stay], missed[stay]
+    return start, w, missed == 0
+
+
+def _hits(index: DataFrame, tests: Tests, near: int) -> DataFrame:
+    """A row for each document that has a match, exact or not: its hit words as bits, its items and proximity matches."""
+    f = np.append(frequencies(index, tests), np.iinfo(np.int64).max)  # past a short window: last
+    order = np.argsort(f[tests.words], axis=1, kind="stable")
 
     def judge(batches):
         for b in batches:
-            term, counts = document_terms(b["text"], tests)
-            s, w, near_s, _ = matches(term, counts, look, near)
-            d = np.bincount(s, minlength=len(term) + 1) - np.bincount(s + tests.lengths[w], minlength=len(term) + 1)
-            hit = np.cumsum(d)[:-1] > 0
-            doc = np.repeat(np.arange(len(counts)), counts)
-            n_hit, n_near = np.bincount(doc[hit], minlength=len(counts)), np.bincount(doc[near_s], minlength=len(counts))
-            found: dict[int, set[str]] = {}
-            pairs = np.unique(np.stack([doc[s], tests.items[w]]), axis=1)
-            for i, k in pairs.T.tolist():
-                found.setdefault(i, set()).add(tests.names[k])
-            items = [sorted(found.get(i, ())) for i in range(len(counts))]
-            if alone:
-                cols = [b["doc_id"], counts, n_hit, [len(x) for x in items], _digests(items), (n_hit > 0) & (share * n_hit >= counts), n_near]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, RESULT_PA, strict=True)], schema=RESULT_PA)
-            else:
-                edges = np.r_[0, np.cumsum(counts)]
-                bits = [np.packbits(hit[edges[i] : edges[i + 1]]).tobytes() if i in found else b"" for i in range(len(counts))]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(counts), b["row"], pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(n_near)], names=["doc_id", "n_words", "row", "bits", "items", "n_near"])
-
-    if alone:
-        return docs.select("doc_id", "text").mapInArrow(judge, RESULT)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    return keyed.mapInArrow(judge, "doc_id long, n_words long, row long, bits binary, items array<string>, n_near long")
-
-
-def _digests(items: list[list[str]]) -> list[str]:
-    return [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-
-
-def _unite(hits: DataFrame, share: int, n_slices: int) -> DataFrame:
-    """One row for each document from the passes over the benchmark's slices (like rows of one id and text stay as many)."""
-
-    def merge(t: pa.Table) -> pa.Table:
-        n, copies = t["n_words"][0].as_py(), t.num_rows // n_slices
-        hit, items = np.zeros(n, bool), set()
-        for bits, own in zip(t["bits"].to_pylist(), t["items"].to_pylist(), strict=True):
-            if bits:
-                hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+            for x in b.to_pylist():
+                counts = np.array(x["lengths"], np.int64)
+                start, w, exact = matches(Segment(x["terms"], x["ends"], x["places"]), counts, tests, order, near)
+                if not len(start):
+                    continue
+                n = int(counts.sum())
+                doc = np.repeat(np.arange(len(counts)), counts)
+                s, t = start[exact], w[exact]
+                hit = np.cumsum(np.bincount(s, minlength=n + 1) - np.bincount(s + tests.lengths[t], minlength=n + 1))[:-1] > 0
+                items: dict[int, set[str]] = {}
+                for i, k in np.unique(np.stack([doc[s], tests.items[t]]), axis=1).T.tolist():
+                    items.setdefault(i, set()).add(tests.names[k])
+                n_near = np.bincount(doc[start[~exact]], minlength=len(counts))
+                edges, places = np.r_[0, np.cumsum(counts)], np.unique(doc[start]).tolist()
+                rows = [(x["segment"], i, np.packbits(hit[edges[i] : edges[i + 1]]).tobytes(), sorted(items.get(i, ())), int(n_near[i])) for i in places]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), HIT_PA, strict=True)], schema=HIT_PA)
+
+    return index.select("segment", "lengths", "terms", "ends", "places").mapInArrow(judge, HIT)
+
+
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, near: int = NEAR, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every document of the index."""
+    hits: DataFrame | None = None
+    for tests in slices(benchmark, window, slice_words):
+        got = C.materialise(_hits(index, tests, near))
+        hits = got if hits is None else hits.unionByName(got)
+    every = index.select("segment", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "x")).select("segment", "place", F.col("x.ids").alias("doc_id"), F.col("x.lengths").cast("long").alias("n_words"))
+    none = F.sha2(F.lit(b""), 256)
+    if hits is None:
+        hits = index.sparkSession.createDataFrame([], HIT)
+
+    def unite(t: pa.Table) -> pa.Table:  # of one document, a row a slice at most
+        bits, items = np.frombuffer(t["bits"][0].as_py(), np.uint8).copy(), set()
+        for b, own in zip(t["bits"].to_pylist(), t["items"].to_pylist(), strict=True):
+            bits |= np.frombuffer(b, np.uint8)
             items |= set(own)
-        n_hit, near = int(hit.sum()), sum(t["n_near"].to_pylist()) // max(copies, 1)
-        row = [t["doc_id"][0].as_py(), n, n_hit, len(items), *_digests([sorted(items)]), n_hit > 0 and share * n_hit >= n, near]
-        return pa.table([pa.array([v] * copies, f.type) for v, f in zip(row, RESULT_PA, strict=True)], schema=RESULT_PA)
+        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        row = {"segment": t["segment"][0].as_py(), "place": t["place"][0].as_py(), "n_hit": int(np.unpackbits(bits).sum()), "n_items": len(items), "items_sha256": digest, "n_near": sum(t["n_near"].to_pylist())}
+        return pa.Table.from_pylist([row], schema=pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("n_near", pa.int64())]))
 
-    return hits.groupBy("row").applyInArrow(merge, RESULT)
+    found = hits.groupBy("segment", "place").applyInArrow(unite, "segment long, place int, n_hit long, n_items long, items_sha256 string, n_near long")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = every.join(found, ["segment", "place"], "left")
+    bad = (n(F.col("n_hit")) > 0) & (share * n(F.col("n_hit")) >= F.col("n_words"))
+    return out.select("doc_id", "n_words", *(n(F.col(c)).alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", none).alias("items_sha256"), bad.alias("contaminated"), n(F.col("n_near")).alias("n_near"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, near: int = NEAR, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every document."""
+    return search(build(docs), benchmark, window, share, near, slice_words)
 
 
-def brute_force(docs: dict, items: dict, window: int = WINDOW, share: int = SHARE) -> dict:
-    """The contract, said plainly, for tests."""
+def brute_force(docs: dict, items: dict, window: int = WINDOW, share: int = SHARE, near: int = NEAR) -> dict:
+    """The contract, said plainly, and the proximity matches, for tests."""
     import re
 
     words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
     out, tests = {}, {k: words(v) for k, v in items.items()}
     for d, text in docs.items():
         w = words(text)
-        hit, found = [False] * len(w), set()
+        hit, found, n_near = [False] * len(w), set(), 0
         for k, t in tests.items():
             for n in {min(window, len(t))} - {0}:
-                wins = {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
-                for i in range(len(w) - n + 1):
-                    if tuple(w[i : i + n]) in wins:
-                        found.add(str(k))
-                        hit[i : i + n] = [True] * n
-        out[d] = (len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), sum(hit) > 0 and share * sum(hit) >= len(w))
+                for win in {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}:
+                    for i in range(len(w) - n + 1):
+                        same = sum(a == b for a, b in zip(w[i : i + n], win, strict=True))
+                        if same == n:
+                            found.add(str(k))
+                            hit[i : i + n] = [True] * n
+                        n_near += n == window and near <= same < n
+        out[d] = (len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), sum(hit) > 0 and share * sum(hit) >= len(w), n_near)
     return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("n_near")
+    return decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -248,8 +288,13 @@ ns AS (SELECT DISTINCT n FROM t),
 g AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN ns ON len(w) >= n)),
 h AS (SELECT doc_id, i, n, item_id FROM g JOIN t USING (n, k)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
-m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1),
+u AS (SELECT row_number() OVER () AS win, string_split(k, ' ') AS ws FROM (SELECT DISTINCT item_id, k FROM t WHERE n = 13)),
+uw AS (SELECT win, o, ws[o] AS x FROM (SELECT win, ws, unnest(range(1, 14)) AS o FROM u)),
+dw AS (SELECT doc_id, p, w[p] AS x, len(w) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+al AS (SELECT doc_id, win, p - o AS s, count(*) AS same FROM dw JOIN uw USING (x) WHERE p - o >= 0 AND p - o + 13 <= n GROUP BY 1, 2, 3),
+nr AS (SELECT doc_id, count(*) AS n_near FROM al WHERE same BETWEEN 10 AND 12 GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN nr ON nr.doc_id = d.doc_id
 """
