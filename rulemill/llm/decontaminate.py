@@ -143,8 +143,8 @@ def frequencies(index: DataFrame, tests: Tests) -> np.ndarray:
     def count(batches):
         total = np.zeros(len(tests.terms), np.int64)
         for b in batches:
-            for terms, ends in zip(b["terms"].to_pylist(), b["ends"].to_pylist(), strict=True):
-                total += Segment(terms, ends).find(tests.terms)[1]
+            for terms, ends in zip(b["terms"], b["ends"], strict=True):
+                total += Segment(terms.as_py(), ends.as_py()).find(tests.terms)[1]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
@@ -202,7 +202,7 @@ def _hits(index: DataFrame, tests: Tests, near: int) -> DataFrame:
 
     def judge(batches):
         for b in batches:
-            for x in b.to_pylist():
+            for x in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):  # a segment at a time
                 counts = np.array(x["lengths"], np.int64)
                 start, w, exact = matches(Segment(x["terms"], x["ends"], x["places"]), counts, tests, order, near)
                 if not len(start):

@@ -26,8 +26,12 @@ def training_labels(labels: DataFrame, column: str, rows: int = SAMPLE_ROWS) ->
 
 
 def with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the sampled documents; the sample is bounded, so it can be sent to all."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    """(doc_id, text, label) of the sampled ids; the sample is bounded, so it can be sent to all.
+
+    One row an id, however many rows of the documents have it: the text with the least hash.
+    """
+    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return own.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -13,7 +13,8 @@ documents, directly or not, form a class.
    A bucket's members are compared with one member, not with each other: first the smallest id,
    in a second round a randomly drawn one, leaving out those already in its class.  Members of buckets that still
    hold several classes then meet through their rarest shingles (prefix filtering), which loses no pair.
-4. Candidates are verified on whole shingle sets; classes are connected components by minimum labels.
+4. Candidates are verified on whole shingle sets, of 64-bit hashes (two unlike shingles among 10**6 of a pair share one with
+   probability 3e-8); classes are connected components by minimum labels.
 
 At similarity 0.8 a pair shares none of 24 bands of 4 coordinates with probability 3e-6.
 
@@ -134,6 +135,14 @@ def _parts(batches):
             yield b.slice(i, j - i)
 
 
+def set_hashes(w: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A hash of each text's shingle set, null for an empty one."""
+    edges, full, whole = np.r_[0, np.cumsum(counts)], counts > 0, np.zeros(len(counts), C.U64)
+    if full.any():
+        whole[full] = np.add.reduceat(C.mix(w ^ C.U64(0x1234567)), edges[:-1][full])
+    return pa.array(C.mix(whole).view(np.int64), mask=~full)
+
+
 def _signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     def run(batches):
         for part in _parts(batches):
@@ -142,36 +151,29 @@ def _signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
             key = np.zeros((len(counts), bands), C.U64) + np.arange(bands, dtype=C.U64)
             for q in range(rows):
                 key = C.mix(key * C.U64(C.BASE) + sig[:, :, q])
-            edges = np.r_[0, np.cumsum(counts)]
-            full = counts > 0
-            whole = np.zeros(len(counts), C.U64)
-            if full.any():
-                whole[full] = np.add.reduceat(C.mix(w ^ C.U64(0x1234567)), edges[:-1][full])
-            set_hash = pa.array(C.mix(whole).view(np.int64), mask=~full)
             flat = pa.ListArray.from_arrays(np.arange(0, (len(counts) + 1) * bands, bands, dtype=np.int32), key.reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], set_hash, flat], names=["doc_id", "set_hash", "bands"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], set_hashes(w, counts), flat], names=["doc_id", "set_hash", "bands"])
 
     return docs.select("doc_id", C.text_column().alias("text")).mapInArrow(run, SIGNED)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, x): the shingle set of each document as sorted 32-bit hashes."""
+    """(id, x): the shingle sets of some texts as 64-bit hashes, by the hash of the set; one row a text."""
 
     def run(batches):
         for part in _parts(batches):
             w, counts = shingles(part["text"], n)
             edges = np.r_[0, np.cumsum(counts)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(edges, (w >> C.U64(32)).astype(np.uint32).view(np.int32))], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([set_hashes(w, counts), pa.ListArray.from_arrays(edges, w.view(np.int64))], names=["id", "x"])
 
-    return docs.select("doc_id", C.text_column().alias("text")).mapInArrow(run, "id long, x array<int>")
+    return docs.select(C.text_column().alias("text")).mapInArrow(run, "id long, x array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, sim) of the pairs."""
     a, b = sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), sets.select(F.col("id").alias("b"), F.col("x").alias("xb"))
     both = F.size(F.array_intersect("xa", "xb"))
-    # distinct 32-bit hashes on both sides: array_distinct keeps a chance clash from counting twice
-    return pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size(F.array_distinct("xa")) + F.size(F.array_distinct("xb")) - both)).alias("sim"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("xa") + F.size("xb") - both)).alias("sim"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def _sharing_rare(members: DataFrame, sets: DataFrame, threshold: float) -> Data
     room for the overlap that the two sizes ask for, which drops most of the pairs that share only what is common
     to a whole group.  No pair is lost.
     """
-    one = members.join(sets, "id").withColumn("x", F.array_distinct("x"))
+    one = members.join(sets, "id")
     # shingles of one member only can match nothing; they count by their number, as the first in the order
     each = one.select("id", "label", F.size("x").alias("n"), F.explode("x").alias("s"))
     shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -219,16 +221,20 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     """doc_id, class_id (the least doc_id of the class), is_kept (true for one document of each class)."""
     signed = C.materialise(_signed(docs, bands, rows, shingle))
     ok = signed.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    rep = ok.groupBy("set_hash").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_hash", F.col("m.doc_id").alias("id"), F.col("m.bands").alias("bands"))
+    # equal shingle sets are one member, under the hash of the set; its least doc_id stands for it
+    rep = ok.groupBy("set_hash").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select(F.col("set_hash").alias("id"), F.col("m.doc_id").alias("doc_id"), F.col("m.bands").alias("bands"))
     bucket = rep.select("id", F.explode("bands").alias("bucket"))
     crowd = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
     member = C.materialise(bucket.join(crowd, "bucket").select("bucket", "id", "first"))
-    wanted = member.select(F.col("id").alias("doc_id")).distinct()
-    chosen = docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = C.materialise(_sets(chosen, shingle))
+    wanted = member.select("id").distinct()
+    texts = docs.select("doc_id", "text").join(rep.select("id", "doc_id").join(wanted, "id").select("doc_id").distinct(), "doc_id")
+    sets = C.materialise(_sets(texts, shingle).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
     star = member.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     known = C.materialise(_verified(star, sets))
-    links = known.filter(F.col("sim") >= threshold).select("a", "b")
+    # rows with one doc_id and different texts are linked through that id
+    several = ok.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("z")).filter("a != z").select("doc_id", "a")
+    same = ok.join(several, "doc_id").filter("set_hash != a").select("a", F.col("set_hash").alias("b")).distinct()
+    links = C.materialise(known.filter(F.col("sim") >= threshold).select("a", "b").unionByName(same))
     label = components(links)
 
     def placed(left: DataFrame) -> DataFrame:
@@ -252,7 +258,11 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
         pairs = _sharing_rare(left.select("id", "label").distinct(), sets, threshold)
         got = _verified(pairs, sets).filter(F.col("sim") >= threshold)
         label = components(C.materialise(links.unionByName(got.select("a", "b"))))
-    by_set = rep.select("set_hash", "id").join(label, "id", "left").select("set_hash", F.coalesce("label", "id").alias("class_id"))
+    # a class goes by its least doc_id; sets without a link are classes of their own
+    linked = label.join(rep.select("id", "doc_id"), "id")
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("least"))
+    by_set = rep.select("id", "doc_id").join(linked.join(least, "label").select("id", "least"), "id", "left")
+    by_set = by_set.select(F.col("id").alias("set_hash"), F.coalesce("least", "doc_id").alias("class_id"))
     out = signed.select("doc_id", "set_hash").join(by_set, "set_hash", "left")
     class_id = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", class_id.alias("class_id")).withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
@@ -262,6 +272,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(C.table(spark, sf_dir, "documents"))
 
 
+#: Pairs that share a shingle, their similarity, and classes as what each document reaches over links; for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(k, chr(1) ORDER BY k)) AS h FROM s GROUP BY 1),
+r AS (SELECT h, min(n) AS n, min(doc_id) AS rep FROM n GROUP BY 1),
+x AS (SELECT rep, k FROM s JOIN r ON s.doc_id = r.rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM x a JOIN x b ON a.k = b.k AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN r ra ON ra.rep = a JOIN r rb ON rb.rep = b WHERE c >= 0.8 * (ra.n + rb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT rep, rep FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, d.doc_id = coalesce(class_id, d.doc_id) AS is_kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.h = n.h LEFT JOIN c ON c.rep = r.rep
+"""
+
+
 def brute_force(texts: dict, threshold: float = THRESHOLD, n: int = SHINGLE) -> dict:
     """Classes by comparing all pairs that share a shingle, for tests."""
     import re

@@ -9,9 +9,13 @@ estimates how reliable each labeler is for each kind and how likely a pattern is
 (Dawid-Skene, two classes); these soft labels train a naive-Bayes span classifier over votes, length and edges.  A candidate
 that the classifier gives ``accept`` or more is added; matches that pass their checks are always kept.
 
-All pattern work is one row-wise expression: no shuffle and no Python.  The first pass aggregates votes,
-whose values are few by construction (at most 6 kinds * 27 patterns * 9 lengths * 2), and only these counts
-reach the driver.  Patterns are written so that Java's matcher neither recurses nor turns quadratic on long texts.
+All pattern work is row-wise expressions: no shuffle and no Python.  Candidates are found once and written beside their
+rows; votes are aggregated from there, whose values are few by construction (at most 6 kinds * 27 patterns * 9 lengths
+* 2), and only these counts reach the driver.
+
+Work grows with the text, also where one text holds very many matches: patterns are written so that Java's matcher
+neither recurses nor turns quadratic; places come from running sums (``scan``); a text is cut once in chunks of ``CHUNK``
+characters, and whatever is read around a match comes from a chunk or two (``between``).
 
 Defined results: null text is empty; a text without matches has counts 0 and the hash of the empty string;
 repeated rows are judged each; an empty table gives no rows; other columns are ignored.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,20 +46,58 @@ DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|example"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65|35|30[0-5]|36|38"
 NAMES = "token|secret|key|password|passwd|pwd|auth|bearer"
 NEAR = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|pay", "phone": "tel|phone|call|fax|mobile", "secret": NAMES}
+GROUP, CHUNK = 256, 512
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def scan(items: Column, start: Column, kind: str, step: Callable) -> Column:
+    """Left to right over an array with a state: ``step(state, item)`` gives the next state, and these are the result.
+
+    ``kind`` is the state's SQL type.  An array grows by copying, so items go in groups of GROUP, each folded
+    into its own small array.
+    """
+    return let(items, lambda x: _scan(x, start, kind, step))
+
+
+def _scan(items: Column, start: Column, kind: str, step: Callable) -> Column:
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(acc: Column, x: Column) -> Column:
+        return let(step(acc["state"], x), lambda s: F.struct(s.alias("state"), F.concat(acc["out"], F.array(s)).alias("out")))
+
+    def group(acc: Column, i: Column) -> Column:
+        part = F.aggregate(F.slice(items, i + 1, GROUP), F.struct(acc["state"].alias("state"), none.alias("out")), within)
+        return let(part, lambda p: F.struct(p["state"].alias("state"), F.concat(acc["out"], p["out"]).alias("out")))
+
+    whole = F.aggregate(F.sequence(F.lit(0), F.size(items) - 1, F.lit(GROUP)), F.struct(start.cast(kind).alias("state"), none.alias("out")), group, lambda acc: acc["out"])
+    return F.when(F.size(items) > 0, whole).otherwise(none)
 
 
 def located(marked: Column, pattern: str) -> Column:
-    """array<struct<s, e>>: where the pattern's matches begin and end, in code points."""
-    found = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.split(marked, pattern, -1).alias("gap"), found.alias("hit"))
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    """array<struct<s, e, hit>>: where the pattern's matches begin and end, in code points, and their texts."""
+    place = F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("hit"))
+    step = lambda at, x: F.struct((at["e"] + x["gap"]).alias("s"), (at["e"] + x["gap"] + F.length(x["hit"])).alias("e"), x["hit"].alias("hit"))
+    pair = lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))
+    items = lambda hits: F.zip_with(F.slice(F.split(marked, pattern, -1), 1, F.size(hits)), hits, pair)
+    return let(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)), lambda hits: scan(items(hits), place, "struct<s:int,e:int,hit:string>", step))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.coalesce(F.length(x["hit"]), F.lit(0))
-        return F.struct(e.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).alias("out"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+def chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
+
+
+def between(cut: Column, a: Column, b: Column) -> Column:
+    """The characters a to b (exclusive) of a text in chunks, without walking through what lies before them."""
+    n = F.lit(CHUNK)
+    at = lambda i: F.coalesce(F.try_element_at(cut, (i + 1).cast("int")), F.lit(""))
+    first, last = F.floor(a / n).cast("int"), F.floor(b / n).cast("int")
+    inner = F.array_join(F.slice(cut, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    apart = F.concat(F.substring(at(first), a % n + 1, n), inner, F.substring(at(last), F.lit(1), b % n))
+    return F.when(first == last, F.substring(at(first), a % n + 1, b - a)).otherwise(apart)
 
 
 def luhn(digits: Column) -> Column:
@@ -70,12 +113,14 @@ def _vote(yes: Column, no: Column) -> Column:
 def _candidate(kind: str, strict: bool):
     """From a span to a candidate: kind, place, whether it is a base match, the votes and the other features."""
 
-    def make(text: Column):
+    def make(cut: Column):
         def one(x: Column) -> Column:
-            m = F.substring(text, x["s"] + 1, x["e"] - x["s"])
-            left = F.lower(F.substring(text, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24))))
-            right = F.substring(text, x["e"] + 1, F.lit(2))
-            digits = F.regexp_replace(m, "[^0-9]", "")
+            m = F.translate(x["hit"], MARK, ".") if kind == "email" else x["hit"]
+            left, right = F.lower(between(cut, F.greatest(x["s"] - 24, F.lit(0)), x["s"])), between(cut, x["e"], x["e"] + 2)
+            read = F.struct(m.alias("m"), left.alias("left"), right.alias("right"), F.regexp_replace(m, "[^0-9]", "").alias("digits"))
+            return let(read, lambda r: judged(x, r["m"], r["left"], r["right"], r["digits"]))
+
+        def judged(x: Column, m: Column, left: Column, right: Column, digits: Column) -> Column:
             if kind == "email":
                 ok, known = F.lit(True), m.rlike(f"(?i)\\.({DOMAINS})$")
             elif kind == "ip":
@@ -101,14 +146,17 @@ def _candidate(kind: str, strict: bool):
 
 
 CANDIDATE = "array<struct<kind:string,s:int,e:int,base:boolean,v1:int,v2:int,v3:int,size:int,edge:int>>"
+PLACES = "array<struct<s:int,e:int,hit:string>>"
+
+
+def cleaned(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), MARK, "�")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text, the array of candidates and the whole input row; texts without any digit or @ are not searched."""
-    clean = F.translate(C.text_column(), MARK, "�")
+    """The whole input row and the array of its text's candidates; texts without any digit or @ are not searched."""
     joined = F.regexp_replace(F.col("text"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
     digits = F.regexp_replace(F.col("text"), r"(?<=[0-9])[ -](?=[0-9])", MARK)
-    none = F.array().cast(CANDIDATE)
     searched = [
         ("email", True, F.col("text").contains("@"), joined, EMAIL),
         ("ip", True, F.col("digit"), F.col("text"), IP),
@@ -117,9 +165,16 @@ def candidates(docs: DataFrame) -> DataFrame:
         ("phone", False, F.col("digit") & F.col("text").contains("("), F.col("text"), LOCAL),
         ("secret", False, F.col("digit"), F.col("text"), SECRET),
     ]
-    df = docs.select("doc_id", clean.alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("digit", F.col("text").rlike("[0-9]"))
-    each = [F.when(gate, F.transform(located(marked, p), _candidate(kind, strict)(F.col("text")))).otherwise(none) for kind, strict, gate, marked, p in searched]
-    return df.select("doc_id", "text", "row", F.concat(*(c.cast(CANDIDATE) for c in each)).alias("found"))
+    df = docs.select(cleaned(C.text_column()).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("digit", F.col("text").rlike("[0-9]"))
+    nowhere, none = F.array().cast(PLACES), F.array().cast(CANDIDATE)
+    names = [f"m{i}" for i in range(len(searched))]
+    df = df.withColumns({n: F.when(gate & marked.rlike(p), located(marked, p)).otherwise(nowhere) for n, (_, _, gate, marked, p) in zip(names, searched, strict=True)})
+    some = F.lit(False)
+    for n in names:
+        some = some | (F.size(n) > 0)
+    df = df.withColumn("cut", F.when(some, chunks(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    each = [F.when(F.size(n) > 0, F.transform(n, _candidate(kind, strict)(F.col("cut")))).otherwise(none) for n, (kind, strict, *_) in zip(names, searched, strict=True)]
+    return df.select("row", F.concat(*(c.cast(CANDIDATE) for c in each)).alias("found"))
 
 
 def pattern_counts(found: DataFrame) -> list:
@@ -188,18 +243,32 @@ def _key_of(r) -> str:
     return "|".join(str(r[f]) for f in ("kind", "v1", "v2", "v3", "size", "edge"))
 
 
+def apart(spans: Column) -> Column:
+    """The spans, in order of their starts, less those that are not base matches and overlap one that is.
+
+    One pass to the right finds how far the base matches before a span reach; one to the left, where the next begins.
+    """
+    far = (1 << 31) - 1
+    reach = scan(spans, F.lit(0), "int", lambda at, x: F.when(x["base"], F.greatest(at, x["e"])).otherwise(at))
+    begins = F.reverse(scan(F.reverse(spans), F.lit(far), "int", lambda at, x: F.when(x["base"], x["s"]).otherwise(at)))
+    pair = F.zip_with(reach, begins, lambda a, b: F.struct(a.alias("reach"), b.alias("next")))
+    each = F.zip_with(spans, pair, lambda x, p: F.struct(x.alias("x"), (x["base"] | ((p["reach"] <= x["s"]) & (p["next"] >= x["e"]))).alias("ok")))
+    return F.transform(F.filter(each, lambda z: z["ok"]), lambda z: z["x"])
+
+
 def label(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, text, the input row and the accepted candidates in order (``spans``), the base ones among them marked."""
-    found = candidates(docs)
+    found = C.materialise(candidates(docs))  # searched once, for the counts and for the spans
     keys = train(pattern_counts(found), accept)
     key = lambda x: F.concat_ws("|", x["kind"], *(x[f].cast("string") for f in ("v1", "v2", "v3", "size", "edge")))
     known = F.array(*[F.lit(k) for k in keys]).cast("array<string>")
-    base = F.filter("found", lambda x: x["base"])
-    apart = lambda x: ~F.exists("base", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
-    extra = F.filter("found", lambda x: ~x["base"] & F.array_contains(known, key(x)) & apart(x))
     rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
-    ordered = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["s"].alias("s"), rank(x).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base"))))
-    return found.withColumn("base", base).withColumn("extra", extra).select("doc_id", "text", "row", ordered.alias("spans"))
+    kept = F.filter("found", lambda x: x["base"] | F.array_contains(known, key(x)))
+    order = F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), rank(x).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base"))))
+    placed = found.withColumn("kept", order)
+    mixed = F.exists("kept", lambda x: ~x["base"])
+    row = F.col("row")
+    return placed.select(row["doc_id"].alias("doc_id"), cleaned(row["text"]).alias("text"), "row", F.when(mixed, apart(F.col("kept"))).otherwise(F.col("kept")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -208,13 +277,18 @@ def joined(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span (overlapping ones together) replaced by its kind in brackets."""
+    return let(chunks(text), lambda cut: _redact(cut, spans))
+
+
+def _redact(cut: Column, spans: Column) -> Column:
+    put = lambda x, at: F.when(x["s"] < at, F.lit("")).otherwise(F.concat(between(cut, at, x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
 
-    def step(acc: Column, x: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(put).alias("out"))
+    def pieces(reach: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), reach), 1, F.size(spans))
+        end = let(F.coalesce(F.try_element_at(reach, F.lit(-1)), F.lit(0)), lambda at: between(cut, at, F.size(cut) * CHUNK))
+        return F.concat(F.array_join(F.zip_with(spans, before, put), ""), end)
 
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
+    return let(scan(spans, F.lit(0), "int", lambda at, x: F.greatest(at, x["e"])), pieces)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,4 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op8_near_dedup": near_dedup.ORACLE_SQL,
+    "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }

@@ -249,6 +249,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(C.table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 400 <= length(h) THEN md5(substr(h, 2 * i + 1, 400)) END AS k FROM (SELECT rid, h, unnest(range(0, length(h) // 2)) AS i FROM d)),
+r AS (SELECT rid, i, x, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS twice FROM w),
+c AS (SELECT rid, i, x, coalesce(max(CASE WHEN twice THEN i END) OVER (PARTITION BY rid ORDER BY i) > i - 200, false) AS gone FROM r),
+s AS (SELECT rid, i, x, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS span FROM c),
+a AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE gone) AS n_gone, count(*) FILTER (WHERE span) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(n_gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
 def brute_force(texts: dict[int, str | None], length: int = LENGTH) -> dict[int, tuple]:
     """The contract, said plainly, for tests."""
     from collections import Counter

@@ -4,8 +4,9 @@
    occur in toxic documents and, but for at most one in ``odds``, nowhere else.  Terms that may be misspelled
    are kept beside stems that they begin with.  It is a trie.
 2. A Levenshtein automaton of each word is intersected with the trie: the automaton's state is the row of edit
-   distances to the path so far, and branches whose row exceeds the bound are cut.  Two letters that changed
-   places are one edit.  Words that share no half with any term, nor its beginning with the middle two letters
+   distances to the path so far, and branches whose row exceeds the bound are cut.  A term may have one edit from FUZZY
+   letters on, a stem from FUZZY_STEM (shorter ones are too near to other words); two letters that changed
+   places are one edit.  Words may have any length. Words that share no half with any term, nor its beginning with the middle two letters
    in each other's place, cannot be within one edit of it and are not walked.
 3. Each hit gets a context score: a window of words around it tells quotation (quotation marks on both sides,
    words of reporting) from abuse.  Counts of plain, misspelled and quoted hits, alone and per word, go in a
@@ -20,12 +21,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 from . import labelled as L
 
-THRESHOLD, STEM, MIN_DOCS, SHARE, ODDS, MAX_TERMS, CONTEXT = 0.5, (4, 5, 6, 7), 4, 0.004, 40, 5_000, 6
+THRESHOLD, STEM, MIN_DOCS, SHARE, ODDS, SIGNS, CONTEXT = 0.5, (4, 5, 6, 7), 4, 0.004, 40, 4, 6
 FUZZY, FUZZY_STEM = 5, 6  # letters from which on a term, or a stem, may be misspelled
 REPORTING = tuple(w.encode() for w in ("said", "says", "quote", "quoted", "wrote", "called", "dijo", "dit", "sagte"))
 QUOTES = '"“”«»„'
@@ -36,38 +38,45 @@ RESULT_PA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score
 def learn_lexicon(rows: DataFrame, share: float = SHARE) -> list[str]:
     """Terms, and stems as "beginning*", that mark toxic documents of (text, label).
 
-    Near copies count once, lest all words of a much copied document look like marks: of the documents with the
-    same least-hashed pair of neighbouring words and the same label, one is counted.
+    Near copies count together about as one, lest all words of a much copied document look like marks: a document weighs
+    one over the number of documents of its label that are like it.  Those share its least-hashed pairs of
+    neighbouring words, under most of SIGNS hashes; the second least of the SIGNS numbers is taken, so neither texts that
+    share only one frequent pair lose weight, nor do copies gain it by one changed word.  No document is dropped, and no term but by its own counts: a term takes
+    MIN_DOCS documents or more, which bounds their number by the sample's words.
     """
     words = F.split(F.lower(C.text_column()), r"\s+")
     pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
-    rows = rows.withColumn("sig", F.array_min(pairs))
-    rows = rows.groupBy("sig", "label").agg(F.min("text").alias("text"))
+    signs = rows.select("doc_id", "label", pairs.alias("p"))
+    signs = signs.select("doc_id", "label", *[F.array_min(F.transform("p", lambda h, k=k: F.xxhash64(h, F.lit(k)))).alias(f"s{k}") for k in range(SIGNS)])
+    alike = [F.count(F.lit(1)).over(W.partitionBy("label", f"s{k}")) for k in range(SIGNS)]
+    weights = signs.select("doc_id", (1 / F.sort_array(F.array(*alike))[1]).alias("weight"))  # a row an id, of a bounded sample
+    rows = rows.join(F.broadcast(weights), "doc_id")
 
     def count(batches):
-        seen: dict[bytes, list[int]] = {}
-        docs = [0, 0]
+        seen: dict[bytes, list[float]] = {}
+        docs = [0.0, 0.0]
         for b in batches:
             data, off = C.text_bytes(b["text"])
             low = C.LOWER[data]
-            for i, y in enumerate(b["label"].to_pylist()):
+            for i, (y, weight) in enumerate(zip(b["label"].to_pylist(), b["weight"].to_pylist(), strict=True)):
                 a = low[off[i] : off[i + 1]]
                 s, e, _ = C.word_spans(a, np.array([0, len(a)]), C.NOT_ALNUM)
                 raw = a.tobytes()
                 words = {raw[x:z] for x, z in zip(s.tolist(), e.tolist(), strict=True)}
-                docs[y] += 1
+                docs[y] += weight
                 for w in words | {w[:k] + b"*" for w in words for k in STEM if len(w) >= k and (k == len(w) or w[k] & 0xC0 != 0x80)}:
-                    seen.setdefault(w, [0, 0])[y] += 1
+                    seen.setdefault(w, [0.0, 0.0])[y] += weight
         seen[b" docs"] = docs
         yield pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "replace") for k in seen]), pa.array([v[1] for v in seen.values()]), pa.array([v[0] for v in seen.values()])], names=["term", "bad", "good"])
 
-    got = rows.select("text", "label").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    got = rows.select("text", "label", "weight").mapInArrow(count, "term string, bad double, good double").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = got.filter(F.col("term") == " docs").first()
     if not total or not total["bad"]:
         return []
     few = max(MIN_DOCS, share * total["bad"])
-    best = got.filter((F.col("term") != " docs") & (F.col("bad") >= few) & (F.col("good") * ODDS <= F.col("bad")) & (F.length("term") > 3))
-    found = {r["term"] for r in best.orderBy(F.desc("bad"), "term").limit(MAX_TERMS).collect()}
+    slack = 1e-9 * few  # weights are added in any order
+    best = got.filter((F.col("term") != " docs") & (F.col("bad") >= few - slack) & (F.col("good") * ODDS <= F.col("bad") + slack) & (F.length("term") > 3))
+    found = {r["term"] for r in best.select("term").collect()}
     stems = {t for t in found if t.endswith("*") and not any(t[:k] + "*" in found for k in range(1, len(t) - 1))}
     return sorted(stems | {t for t in found if not t.endswith("*") and (len(t) >= FUZZY or not any(t[:k] + "*" in stems for k in range(1, len(t) + 1)))})
 

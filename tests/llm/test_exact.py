@@ -165,6 +165,53 @@ def test_pii_redacts(spark):
     assert pii.label(df).select(pii.redact(F.col("text"), F.col("spans")).alias("t")).first()["t"] == "to é [EMAIL], or [PHONE]!"
 
 
+def test_pii_very_many_matches(spark):
+    """50,000 matches in one text, found, classified and redacted in time that grows with the text."""
+    import time
+
+    text = "".join(f"mail é{i} to user{i}@mail{i}.com or +1 (843) 555-{i % 10000:04d}, (212) 555-0100; " for i in range(25_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.label(df.selectExpr("doc_id", "left(text, 300) AS text")).collect()
+    began = time.time()
+    got = pii.label(df).select(pii.joined(F.filter("spans", lambda x: x["base"])).alias("s"), pii.redact(F.col("text"), F.col("spans")).alias("t")).first()
+    assert time.time() - began < 40  # two passes of some seconds each; the quadratic form took over 300 s for 8,000
+    assert got["s"] == ",".join(f"{k}:{a}:{b}" for k, a, b in pii.brute_force(text))
+    want = re.sub(r"user[0-9]+@mail[0-9]+[.]com", "[EMAIL]", re.sub(r"[+]1 [(]843[)] 555-[0-9]{4}", "[PHONE]", text))
+    assert got["t"] in (want, want.replace("(212) 555-0100", "[PHONE]"))
+
+
+def test_pii_overlaps_and_chunks(spark):
+    """Extras that overlap a base match go, and redaction is right where spans cross chunk edges."""
+    rows = [(i, "x" * (pii.CHUNK - i) + " a@b.cd " + "y" * (2 * pii.CHUNK) + " 1.2.3.4") for i in range(12)]
+    rows.append((99, "key " + "a1" * 20 + "@b.cd"))
+    got = {r["doc_id"]: r for r in pii.label(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "spans", pii.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    for i, text in rows[:-1]:
+        assert got[i]["t"] == text.replace("a@b.cd", "[EMAIL]").replace("1.2.3.4", "[IP]")
+    assert [x["kind"] for x in got[99]["spans"]] == ["email"]
+
+
+def test_apart_keeps_what_overlaps_no_base_match(spark):
+    import random
+
+    rng = random.Random(2)
+    for _ in range(8):
+        spans = sorted({(a := rng.randint(0, 200), rng.randint(1, 5), a + rng.randint(1, 12), "k", rng.random() < 0.5) for _ in range(40)})
+        df = spark.createDataFrame([(spans,)], "spans array<struct<s:int,k:int,e:int,kind:string,base:boolean>>")
+        got = [tuple(x) for x in df.select(pii.apart(F.col("spans")).alias("x")).first()["x"]]
+        assert got == [x for x in spans if x[4] or not any(y[4] and x[0] < y[2] and y[0] < x[2] for y in spans)]
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Rows of one id with unlike texts are linked through it, whichever text is the smaller."""
+    rng = np.random.default_rng(1)
+    a, b = ([f"{c}{i}" for i in rng.integers(0, 900, 120)] for c in "ab")
+    near = lambda w: " ".join([*w[:-1], "z"])
+    for first in (7, 70):
+        rows = [(first, " ".join(a)), (first, " ".join(b)), (9, near(b)), (11, near(a)), (12, "other words")]
+        got = {(r["doc_id"], r["class_id"]) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(k, min(first, 9)) for k in (first, 9, 11)} | {(12, 12)}
+
+
 def test_near_dedup(unique, by_id):
     want = near_dedup.brute_force(by_id)
     got = {r["doc_id"]: r for r in near_dedup.near_dedup(unique).collect()}
