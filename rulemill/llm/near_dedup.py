@@ -223,9 +223,9 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     ok = signed.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
     # equal shingle sets are one member, under the hash of the set; its least doc_id stands for it
     rep = ok.groupBy("set_hash").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select(F.col("set_hash").alias("id"), F.col("m.doc_id").alias("doc_id"), F.col("m.bands").alias("bands"))
-    bucket = rep.select("id", F.explode("bands").alias("bucket"))
-    crowd = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
-    member = C.materialise(bucket.join(crowd, "bucket").select("bucket", "id", "first"))
+    bucket = rep.select("id", "doc_id", F.explode("bands").alias("bucket"))
+    crowd = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "id")).alias("least")).filter("n > 1")
+    member = C.materialise(bucket.join(crowd, "bucket").select("bucket", "id", F.col("least.id").alias("first")))
     wanted = member.select("id").distinct()
     texts = docs.select("doc_id", "text").join(rep.select("id", "doc_id").join(wanted, "id").select("doc_id").distinct(), "doc_id")
     sets = C.materialise(_sets(texts, shingle).join(wanted, "id", "left_semi").dropDuplicates(["id"]))

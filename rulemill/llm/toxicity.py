@@ -6,8 +6,8 @@
 2. A Levenshtein automaton of each word is intersected with the trie: the automaton's state is the row of edit
    distances to the path so far, and branches whose row exceeds the bound are cut.  A term may have one edit from FUZZY
    letters on, a stem from FUZZY_STEM (shorter ones are too near to other words); two letters that changed
-   places are one edit.  Words may have any length. Words that share no half with any term, nor its beginning with the middle two letters
-   in each other's place, cannot be within one edit of it and are not walked.
+   places are one edit.  Words may have any length.  Words that share no half with any
+   term, nor its beginning with the middle two letters in each other's place, cannot be within one edit of it and are not walked.
 3. Each hit gets a context score: a window of words around it tells quotation (quotation marks on both sides,
    words of reporting) from abuse.  Counts of plain, misspelled and quoted hits, alone and per word, go in a
    logistic regression fitted on the sample.
@@ -41,11 +41,12 @@ def learn_lexicon(rows: DataFrame, share: float = SHARE) -> list[str]:
     Near copies count together about as one, lest all words of a much copied document look like marks: a document weighs
     one over the number of documents of its label that are like it.  Those share its least-hashed pairs of
     neighbouring words, under most of SIGNS hashes; the second least of the SIGNS numbers is taken, so neither texts that
-    share only one frequent pair lose weight, nor do copies gain it by one changed word.  No document is dropped, and no term but by its own counts: a term takes
-    MIN_DOCS documents or more, which bounds their number by the sample's words.
+    share only one frequent pair lose weight, nor do copies gain it by one changed word.  No document is dropped, and no
+    term but by its own counts: a term takes MIN_DOCS documents or more, which bounds their number by the sample's words.
     """
     words = F.split(F.lower(C.text_column()), r"\s+")
-    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+    pairs = F.when(F.size(words) > 1, pairs).otherwise(F.transform(words, F.xxhash64))
     signs = rows.select("doc_id", "label", pairs.alias("p"))
     signs = signs.select("doc_id", "label", *[F.array_min(F.transform("p", lambda h, k=k: F.xxhash64(h, F.lit(k)))).alias(f"s{k}") for k in range(SIGNS)])
     alike = [F.count(F.lit(1)).over(W.partitionBy("label", f"s{k}")) for k in range(SIGNS)]
