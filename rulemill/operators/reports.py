@@ -62,6 +62,17 @@ def kappa_pairs(ratings: DataFrame, top: int = 5) -> DataFrame:
     return observed.join(expected, pair).withColumn("kappa", kappa)
 
 
+def rating_grid(ratings: DataFrame, top: int = 5) -> DataFrame:
+    """O-157, O-158, O-200: for each pair of evaluators every pair of ratings 1 ... top, with how often it was given, 0 included."""
+    a = ratings.select("sample_no", "question", F.col("evaluator").alias("e1"), F.col("rating").cast("int").alias("r1"))
+    b = ratings.select("sample_no", "question", F.col("evaluator").alias("e2"), F.col("rating").cast("int").alias("r2"))
+    pair = ["question", "e1", "e2"]
+    joint = a.join(b, ["sample_no", "question"]).filter("e1 < e2").groupBy(*pair, "r1", "r2").agg(count_rows().alias("n"))
+    values = F.sequence(F.lit(1), F.lit(top))  # top * top rows a pair: exploded, not joined
+    grid = joint.select(*pair).distinct().withColumn("r1", F.explode(values)).withColumn("r2", F.explode(values))
+    return grid.join(joint, [*pair, "r1", "r2"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def kappa_by_question(ratings: DataFrame) -> DataFrame:
     """R-6: the mean over all pairs of evaluators."""
     return kappa_pairs(ratings).groupBy("question").agg(count_rows().cast("int").alias("evaluator_pairs"), exact2(F.avg("kappa")).alias("kappa"))

@@ -291,6 +291,7 @@ QUERIES = {
     "reduction_cascade": _reduction,
     "topk_examples": _topk,
     "kind_summary": lambda spark, d: rules.kind_summary(source(spark, d), "rule_type"),
+    "rule_totals": lambda spark, d: audit.else_and_total(source(spark, d)),
     "audit_s4": _audit_s4,
     "audit_s5": _audit_s5,
     "audit_battery": _battery,
@@ -309,6 +310,7 @@ ORACLE_SQL = {
     "reduction_cascade": f"WITH {ABSTRACTED}, c AS (SELECT cast(sum(weight) AS bigint) AS rules, count(DISTINCT canonical_key) AS canonical, count(DISTINCT abstract_canonical_key) AS abstract FROM abst) SELECT *, {ROUND.format('100.0 * (1 - canonical / rules)')} AS pct_canonical, {ROUND.format('100.0 * (1 - abstract / canonical)')} AS pct_abstract, {ROUND.format('100.0 * (1 - abstract / rules)')} AS pct_all FROM c",
     "topk_examples": f"WITH {KEYED}, r AS (SELECT canonical_key, program_id, start_line, cast(row_number() OVER (PARTITION BY canonical_key ORDER BY program_id, start_line, raw_snippet, condition_text NULLS FIRST, when_text NULLS FIRST, then_text) AS int) AS rank FROM keyed) SELECT * FROM r WHERE rank <= 3",
     "kind_summary": f"SELECT cast(count(*) AS bigint) AS total, cast(count(*) FILTER (WHERE rule_type = 'IF') AS bigint) AS ifs, cast(count(*) FILTER (WHERE rule_type = 'EVALUATE') AS bigint) AS evaluates FROM ({RULES_SRC}lineitem)",
+    "rule_totals": f"SELECT cast(count(*) FILTER (WHERE NOT {_blank('else_text')}) AS bigint) AS with_else, cast(count(*) AS bigint) AS total FROM ({RULES_SRC}lineitem)",
     "audit_s4": AUDIT_S4,
     "audit_s5": AUDIT_S5,
     "audit_battery": AUDIT_BATTERY,

@@ -25,8 +25,7 @@ def _docs(spark, d):
 # ---------------------------------------------------------------- text
 
 _DIRT = "chr(13), chr(10), chr(9), 'x', chr(13), 'y', chr(7), ' A, B_C {z} `q` [1]! .. end'"
-#: The SQL's texts, still cut; the queries clean whole ones.
-_DIRTY = f"concat(substr(text, 1, 400), {_DIRT})"
+_DIRTY = f"concat(text, {_DIRT})"
 
 
 def _dirty(spark, d):
@@ -57,12 +56,12 @@ def _signals(spark, d):
 
 def _detect(spark, d):
     n = F.lpad((_c("doc_id") % 100).cast("string"), 2, "0")
-    t = F.concat(F.lit("* note\n"), n, F.lit(" WS-A.\n"), F.when(_c("doc_id") % 3 == 0, "function  id. x").when(_c("doc_id") % 5 == 0, "procedure division.").otherwise("z"))
+    t = F.concat(F.lit("* note\n"), n, F.lit(" WS-A.\n"), F.coalesce("text", F.lit("")), F.lit("\n"), F.when(_c("doc_id") % 3 == 0, "function  id. x").when(_c("doc_id") % 5 == 0, "procedure division.").otherwise("z"))
     x = _docs(spark, d).select("doc_id", t.alias("t"))
     return x.select("doc_id", T.is_copybook(_c("t")).alias("copybook"), T.is_function_unit(_c("t")).alias("function_unit"), T.weak_signal(_c("t")).alias("weak"))
 
 
-_DETECT_T = "'* note' || chr(10) || lpad((doc_id % 100)::VARCHAR, 2, '0') || ' WS-A.' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'function  id. x' WHEN doc_id % 5 = 0 THEN 'procedure division.' ELSE 'z' END"
+_DETECT_T = "'* note' || chr(10) || lpad((doc_id % 100)::VARCHAR, 2, '0') || ' WS-A.' || chr(10) || coalesce(text, '') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'function  id. x' WHEN doc_id % 5 = 0 THEN 'procedure division.' ELSE 'z' END"
 
 
 def _paths(spark, d):
@@ -98,14 +97,15 @@ def _valid_join(spark, d):
 
 
 def _incremental(spark, d):
-    docs = _docs(spark, d).select("doc_id", "source")
-    return R.insert_missing(docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 2 = 0"), ["doc_id"])
+    """Programs known under the labels' ids, and all documents as the new ones."""
+    known = read(spark, d, "labels").select("doc_id", F.lit("known").alias("source"))
+    return R.insert_missing(known, _docs(spark, d).select("doc_id", "source"), ["doc_id"])
 
 
 def _upsert(spark, d):
-    docs = _docs(spark, d).select("doc_id", "source", "n_chars")
-    new = docs.filter("doc_id % 4 = 0").withColumn("n_chars", F.lit(-1).cast("long"))
-    return R.upsert(docs, new, ["doc_id"])
+    """All documents, replaced by the rows that the labels give for theirs."""
+    new = read(spark, d, "labels").select("doc_id", F.lit("labelled").alias("source"), F.lit(-1).cast("long").alias("n_chars"))
+    return R.upsert(_docs(spark, d).select("doc_id", "source", "n_chars"), new, ["doc_id"])
 
 
 def _unlabelled(spark, d):
@@ -114,7 +114,8 @@ def _unlabelled(spark, d):
 
 
 def _orphans(spark, d):
-    return R.missing(read(spark, d, "labels").filter("doc_id % 2 = 1 OR quality = 0"), _docs(spark, d).filter("lang = 'en'"), ["doc_id"])
+    """Documents are the orphans here, of the labels."""
+    return R.missing(_docs(spark, d).select("doc_id", "lang", "source"), read(spark, d, "labels"), ["doc_id"])
 
 
 def _null_safe(spark, d):
@@ -225,7 +226,7 @@ def _audit_s8(spark, d):
 
 def _coverage(spark, d):
     key = _c("doc_id").alias("abstract_canonical_key")
-    return audit.coverage(_docs(spark, d).filter("doc_id % 3 > 0").select(key), read(spark, d, "labels").select(key))
+    return audit.coverage(_docs(spark, d).select(key), read(spark, d, "labels").select(key))
 
 
 def _label_share(spark, d):
@@ -239,7 +240,7 @@ def _ratings(spark, d):
 
 
 _RATINGS_SQL = """r AS (SELECT (event_id // 5)::INT AS sample_no, 'E' || (event_id % 5 + 1)::VARCHAR AS evaluator, ((event_id + user_id) % 5 + 1)::SMALLINT AS f1, ((event_id * 2 + user_id) % 5 + 1)::SMALLINT AS f2,
-  ((event_id * 5 + user_id) % 5 + 1)::SMALLINT AS f3, ((event_id * 7 + user_id) % 5 + 1)::SMALLINT AS f4 FROM events WHERE event_id < 5000),
+  ((event_id * 5 + user_id) % 5 + 1)::SMALLINT AS f3, ((event_id * 7 + user_id) % 5 + 1)::SMALLINT AS f4 FROM events),
 l AS (SELECT sample_no, evaluator, 'f1' AS question, f1 AS rating FROM r UNION ALL SELECT sample_no, evaluator, 'f2', f2 FROM r UNION ALL SELECT sample_no, evaluator, 'f3', f3 FROM r UNION ALL SELECT sample_no, evaluator, 'f4', f4 FROM r)"""
 _KAPPA_SQL = f"""{_RATINGS_SQL},
 pr AS (SELECT a.question, a.evaluator AS e1, b.evaluator AS e2, a.rating AS r1, b.rating AS r2 FROM l a JOIN l b ON a.sample_no = b.sample_no AND a.question = b.question AND a.evaluator < b.evaluator),
@@ -273,6 +274,19 @@ def _metrics(spark, d):
 
 _METRICS_SQL = "m AS (SELECT CASE WHEN event_type = 'error' THEN 'Job' ELSE event_type END AS step_name, user_id % 50 AS job_execution_id, CASE WHEN event_id % 97 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS batch_status, ((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 1000 + event_id % 1000) % 10000 AS duration_ms, event_id % 7 AS read_count, event_id % 5 AS write_count, event_id % 3 AS filter_count, event_id % 2 AS process_skip_count FROM events)"
 
+
+
+def _listing(spark, d):
+    """C-40, all steps with their place in the order, the latest first."""
+    m = _metrics(spark, d).select("step_name", "job_execution_id", (_c("duration_ms") * 1000 + _c("job_execution_id")).alias("start_time"))
+    return audit.step_listing(m).groupBy("step_name", "job_execution_id", "start_time").agg(R.count_rows().alias("n"))
+
+
+def _grid(spark, d):
+    """O-157, O-158, O-200: every pair of evaluators with every pair of ratings, and how often it was given."""
+    return reports.rating_grid(_long(spark, d))
+
+
 _PROGRAM = """       IDENTIFICATION DIVISION.
        PROGRAM-ID. SAMPLE{n}.
        PROCEDURE DIVISION.
@@ -361,6 +375,8 @@ QUERIES = {
     "category_report": _categories,
     "rating_counts": lambda s, d: reports.rating_counts(_long(s, d)),
     "mean_mismatch": _mean_mismatch,
+    "rating_grid": _grid,
+    "step_listing": _listing,
     "step_runtimes": lambda s, d: reports.runtimes(_metrics(s, d)),
     "job_totals": lambda s, d: reports.job_totals(_metrics(s, d)),
     "unfinished_steps": lambda s, d: audit.unfinished_steps(_metrics(s, d)),
@@ -385,10 +401,10 @@ ORACLE_SQL = {
     "status_share": f"SELECT o_orderstatus, o_orderpriority, {_n}, {_pct('count(*)', 'sum(count(*)) OVER ()')} AS pct FROM orders GROUP BY 1, 2",
     "share_within": f"SELECT o_orderstatus, o_orderpriority, {_n}, {_pct('count(*)', 'sum(count(*)) OVER (PARTITION BY o_orderstatus)')} AS pct FROM orders GROUP BY 1, 2",
     "valid_join": f"SELECT source, {_n} FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1",
-    "incremental_import": "SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
-    "upsert": "SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE n_chars END AS n_chars FROM documents",
+    "incremental_import": "SELECT doc_id, 'known' AS source FROM labels UNION ALL SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "upsert": "SELECT doc_id, 'labelled' AS source, -1::BIGINT AS n_chars FROM labels UNION ALL SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "unlabelled_patterns": "SELECT doc_id AS abstract_canonical_key, n_chars AS occurrences FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-    "orphan_labels": "SELECT l.* FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL AND (l.doc_id % 2 = 1 OR quality = 0)",
+    "orphan_labels": "SELECT d.doc_id, lang, source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL",
     "null_safe_violation": "SELECT d.doc_id, CASE WHEN lang = 'en' THEN '1' END AS a, quality::VARCHAR AS b FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE CASE WHEN lang = 'en' THEN 1 END IS DISTINCT FROM quality",
     "duplicate_keys": f"SELECT l_orderkey, l_linenumber, {_n} FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "mixed_keys": "SELECT l_suppkey, count(DISTINCT l_linestatus) AS n_l_linestatus, count(DISTINCT l_returnflag) AS n_l_returnflag FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1 OR count(DISTINCT l_returnflag) > 1",
@@ -405,12 +421,14 @@ ORACLE_SQL = {
     "label_json": f"WITH {_LABELS_SQL} SELECT event_id, title, rule_summary, pattern, confidence FROM lab",
     "label_share": f"WITH {_LABELS_SQL} SELECT pattern, cast(count(*) AS bigint) AS labels, {_pct('count(*)', 'sum(count(*)) OVER ()')} AS pct FROM lab GROUP BY 1",
     "audit_s8": f"WITH {_LABELS_SQL} " + _checks("lab", "S8", [("C-36", f"pattern NOT IN {PATTERNS}"), ("C-37", "NOT confidence BETWEEN 0 AND 1"), ("C-38", "regexp_matches(concat(title, rule_summary), 'VAR[0-9]+|<N>|<S>|<ZERO>|<SPACE>')")]),
-    "label_coverage": _checks("(SELECT d.doc_id, l.doc_id AS x FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 3 > 0)", "S8", [("C-34", "x IS NULL")]) + " UNION ALL " + _checks("labels", "S8", [("C-35", "doc_id % 3 = 0")]),
+    "label_coverage": _checks("(SELECT d.doc_id, l.doc_id AS x FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)", "S8", [("C-34", "x IS NULL")]) + " UNION ALL " + _checks("(SELECT d.doc_id AS x FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id)", "S8", [("C-35", "x IS NULL")]),
     "weighted_kappa": f"WITH {_KAPPA_SQL} SELECT * FROM k",
     "dimension_report": f"WITH {_KAPPA_SQL} SELECT question, {_STATS}, any_value(kappa) AS kappa FROM l JOIN k USING (question) GROUP BY question UNION ALL SELECT 'all', {_STATS}, NULL FROM l",
     "category_report": f"WITH {_RATINGS_SQL} SELECT p_brand, count(DISTINCT sample_no) AS samples, {ROUND.format('avg(rating)')} AS mean, " + ", ".join(f"{ROUND.format(f'avg(rating) FILTER (WHERE question = {chr(39)}f{i}{chr(39)})')} AS mean_f{i}" for i in (1, 2, 3, 4)) + " FROM l JOIN part ON p_partkey = sample_no GROUP BY 1",
     "rating_counts": f"WITH {_RATINGS_SQL} SELECT count(DISTINCT sample_no) AS samples, count(DISTINCT evaluator) AS evaluators, count(DISTINCT (sample_no, evaluator)) AS rows, count(*) AS ratings FROM l",
     "mean_mismatch": f"WITH {_RATINGS_SQL}, x AS (SELECT *, round(cast((f1 + f2 + f3) / 3.0 AS decimal(18,6)), 2) AS stored, round(cast((f1 + f2 + f3 + f4) / 4.0 AS decimal(18,6)), 2) AS own FROM r) SELECT sample_no, evaluator, cast(own AS double) AS recomputed FROM x WHERE own <> stored",
+    "rating_grid": f"WITH {_RATINGS_SQL}, pr AS (SELECT a.question, a.evaluator AS e1, b.evaluator AS e2, a.rating AS r1, b.rating AS r2 FROM l a JOIN l b ON a.sample_no = b.sample_no AND a.question = b.question AND a.evaluator < b.evaluator), k AS (SELECT DISTINCT question, e1, e2 FROM pr), g AS (SELECT x AS r1, y AS r2 FROM generate_series(1, 5) a(x) CROSS JOIN generate_series(1, 5) b(y)) SELECT question, e1, e2, r1::INT AS r1, r2::INT AS r2, (SELECT count(*) FROM pr WHERE pr.question = k.question AND pr.e1 = k.e1 AND pr.e2 = k.e2 AND pr.r1 = g.r1 AND pr.r2 = g.r2) AS n FROM k CROSS JOIN g",
+    "step_listing": f"WITH {_METRICS_SQL} SELECT step_name, job_execution_id, duration_ms * 1000 + job_execution_id AS start_time, {_n} FROM m WHERE step_name <> 'Job' GROUP BY ALL",
     "step_runtimes": f"WITH {_METRICS_SQL} SELECT step_name, cast(count(*) AS bigint) AS runs, min(duration_ms) AS min_ms, {ROUND.format('avg(duration_ms)')} AS mean_ms, max(duration_ms) AS max_ms FROM m WHERE step_name <> 'Job' GROUP BY 1",
     "job_totals": f"WITH {_METRICS_SQL} SELECT job_execution_id, " + ", ".join(f"cast(sum({c}) AS bigint) AS {c}" for c in ("duration_ms", "read_count", "write_count", "filter_count", "process_skip_count")) + " FROM m WHERE step_name <> 'Job' GROUP BY 1",
     "unfinished_steps": f"WITH {_METRICS_SQL} " + _checks("m", "Mon", [("C-41", "batch_status <> 'COMPLETED'")]),
