@@ -98,7 +98,7 @@ def drop_reference_modification(c: Column) -> Column:
 
 def drop_subscripts(c: Column, parity: bool = False) -> Column:
     """O-54: NAME(i) to NAME.  Reserved words keep their parenthesis, unless parity with the older behaviour is asked for."""
-    keep = "" if parity else r"(?!(?:IF|AND|OR|NOT|WHEN|UNTIL|EVALUATE|THAN|TO|EQUAL|IS|BY|COMPUTE)\b)"
+    keep = "" if parity else r"(?!(?:IF|AND|OR|NOT|WHEN|UNTIL|EVALUATE|THAN|TO|EQUAL|IS|BY|COMPUTE)(?![A-Z0-9-]))"
     return F.regexp_replace(c, rf"(?i)(?<![A-Z0-9-]){keep}([A-Z0-9-]+)\s*\([^():\n]*\)", "$1")
 
 

@@ -100,13 +100,18 @@ class TransientError(Exception):
 
 
 def call(labeler: Callable[[dict], str], row: dict, attempts: int = 3, pause: float = 2.0) -> str | None:
-    """O-219: the response, after waiting longer at each attempt; null when none came."""
+    """O-219, O-221: the response, after waiting longer at each attempt; null when none came.
+
+    Any other failure of the labeler is not tried again; the pattern gets no response, and so is rejected, and the stage goes on.
+    """
     for k in range(1, attempts + 1):
         try:
             return labeler(row)
         except TransientError:
             if k < attempts:
                 time.sleep(pause * k)
+        except Exception:  # noqa: BLE001 - one pattern's failure must stay its own
+            return None
     return None
 
 
@@ -125,17 +130,23 @@ def ask(rows: DataFrame, labeler: Callable[[dict], str], pause: float = 2.0) ->
 
 def _checked(rows: DataFrame) -> DataFrame:
     x = rows.withColumn("label", parse_response(F.col("response")))
-    return x.withColumn("fault", fault(F.col("label.title"), F.col("label.rule_summary"), F.col("label.pattern"), F.col("label.confidence")))
+    silent = F.when(F.col("response").isNull(), "no response")
+    return x.withColumn("fault", F.coalesce(silent, fault(F.col("label.title"), F.col("label.rule_summary"), F.col("label.pattern"), F.col("label.confidence"))))
+
 
+def label(patterns: DataFrame, examples: DataFrame, done: DataFrame | None = None, labeler: Callable[[dict], str] = offline_labeler, run_id: str = "run_1", model: str = "offline", prompt_version: str = "v1", pause: float = 2.0, store: Callable[[str, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """O-210 to O-221: (labels, rejected patterns with their reasons) of the patterns that have no label in this run yet.
 
-def label(patterns: DataFrame, examples: DataFrame, done: DataFrame | None = None, labeler: Callable[[dict], str] = offline_labeler, run_id: str = "run_1", model: str = "offline", prompt_version: str = "v1", pause: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """O-210 to O-221: (labels, rejected patterns with their reasons) of the patterns that have no label in this run yet."""
+    ``store(name, rows)`` keeps the responses of an attempt and gives them back, so that both results read the same
+    answers and none is asked for twice; the pipeline writes them as tables.  Without it they are persisted.
+    """
+    store = store or (lambda _name, rows: rows.persist())
     todo = missing(patterns, done.filter(F.col("run_id") == run_id), ["abstract_canonical_key"]) if done is not None else patterns
     bad = incomplete(todo).select("abstract_canonical_key", "reason")
     ready = prompts(missing(todo, bad, ["abstract_canonical_key"]), examples)
-    first = _checked(ask(ready, labeler, pause)).persist()
+    first = _checked(store("responses", ask(ready, labeler, pause)))
     again = first.filter("fault IS NOT NULL").withColumn("prompt", F.concat_ws("\n\n", "prompt", F.concat(F.lit("Correct this and answer again: "), "fault"))).drop("response", "label", "fault")
-    second = _checked(ask(again, labeler, pause))  # O-218: one corrective attempt
+    second = _checked(store("corrections", ask(again, labeler, pause)))  # O-218: one corrective attempt
     every = first.filter("fault IS NULL").unionByName(second)
     out = every.filter("fault IS NULL").select(F.lit(run_id).alias("run_id"), "abstract_canonical_key", "kind", "label.title", "label.rule_summary", "label.pattern", "label.confidence", F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"))
     return out, bad.unionByName(every.filter("fault IS NOT NULL").select("abstract_canonical_key", F.col("fault").alias("reason")))

@@ -58,6 +58,31 @@ def parse_source(content: bytes | None, parity: bool = False) -> dict:
     return out | {"status": e.status, "message": cut(e.message, _MAX["message"]), "line_no": e.line, "char_pos": e.pos, "offending_token": cut(e.token, _MAX["offending_token"]), "snippet": cut(around(text, e.line), _MAX["snippet"])}
 
 
+def cleaned(programs: DataFrame, parity: bool = False) -> DataFrame:
+    """O-30 to O-62 alone: (id, content, reason) of each program whose bytes are UTF-8."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, content in zip(b["id"].to_pylist(), b["content"].to_pylist(), strict=True):
+                try:
+                    got = cleaning.clean((content or b"").decode("utf-8"), parity)
+                except UnicodeDecodeError:
+                    continue
+                rows.append({"id": i, "content": got.content, "reason": got.reason})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("content", pa.string()), ("reason", pa.string())]))
+
+    return programs.select("id", "content").mapInArrow(run, "id long, content string, reason string")
+
+
+def parse_safely(content: bytes | None, parity: bool = False) -> dict:
+    """O-221: parse_source, but what no status foresees becomes a row with PARSER_ERROR instead of the end of the stage."""
+    try:
+        return parse_source(content, parity)
+    except Exception as e:  # noqa: BLE001 - any failure of one file must stay that file's
+        return parse_source(None) | {"status": "PARSER_ERROR", "message": cut(f"{type(e).__name__}: {e}", _MAX["message"])}
+
+
 def parse(programs: DataFrame, parity: bool = False, partitions: int | None = None) -> DataFrame:
     """A row for each program with its parse result and nested candidates and rules."""
     rows = programs.select("id", "path", "source_type", "content")
@@ -66,7 +91,7 @@ def parse(programs: DataFrame, parity: bool = False, partitions: int | None = No
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pylist([r | parse_source(r.pop("content"), parity) for r in b.to_pylist()], schema=schema)
+            yield pa.RecordBatch.from_pylist([r | parse_safely(r.pop("content"), parity) for r in b.to_pylist()], schema=schema)
 
     schema = pa.schema([("id", pa.int64()), ("path", pa.string()), ("source_type", pa.string()), *_fields(S.PARSE_RESULT), ("candidates", pa.list_(pa.struct(_fields(S.CANDIDATE)))), ("rules", pa.list_(pa.struct(_fields(S.RULE))))])
     return rows.mapInArrow(run, PARSED)

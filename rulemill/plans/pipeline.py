@@ -18,6 +18,8 @@ from ..operators import labels, parse_stage, rules
 from ..sources import corpus
 
 STEPS = ("programs", "parsed", "parse_results", "candidates", "extracted", "normalized", "canonical", "abstract", "labels")
+#: The table whose rows a step reads, where there is one.
+SOURCES = {"parsed": "programs", "parse_results": "parsed", "candidates": "parsed", "extracted": "parsed", "normalized": "extracted", "canonical": "normalized", "abstract": "normalized", "labels": "abstract"}
 JOB = "decisionRuleJob"
 
 
@@ -45,17 +47,23 @@ class Pipeline:
 
     def _step(self, job: int, name: str, make) -> None:
         """O-222: counts and duration of a step; a failing step is recorded, then raised."""
-        began, status, written = datetime.now(UTC), "COMPLETED", 0
+        began, status, written, read, filtered, skipped = datetime.now(UTC), "COMPLETED", 0, 0, 0, 0
         try:
             corpus.write_stage(make(), f"{self.out}/{name}")
-            written = self.table(name).count()  # of the footers only
+            written = self.table(name).count()  # of the footers only, as the next one
+            read = self.table(SOURCES[name]).count() if name in SOURCES else written
+            if name in ("candidates", "extracted"):
+                filtered = self.table("parse_results").filter("status <> 'VALID'").count()
+            if name == "labels":
+                skipped = self.table("rejected").count()
+                filtered = read - written - skipped
         except Exception:
             status = "FAILED"
             raise
         finally:
             ended = datetime.now(UTC)
             ms = int((ended - began).total_seconds() * 1000)
-            self.metrics.append((JOB, job, name, status, status, began, ended, ms, None, written, 0, 0))
+            self.metrics.append((JOB, job, name, status, status, began, ended, ms, read, written, filtered, skipped))
 
     def _programs(self) -> DataFrame:
         found = corpus.scan(self.spark, self.root)
@@ -87,6 +95,10 @@ class Pipeline:
         return rules.abstract(self.table("normalized"))
 
     def _labels(self) -> DataFrame:
-        got, rejected = labels.label(self.table("abstract"), rules.examples(self.table("normalized")), labeler=self.labeler, run_id=self.run_id)
+        def store(name: str, rows: DataFrame) -> DataFrame:
+            corpus.write_stage(rows, f"{self.out}/{name}")
+            return self.table(name)
+
+        got, rejected = labels.label(self.table("abstract"), rules.examples(self.table("normalized")), labeler=self.labeler, run_id=self.run_id, store=store)
         corpus.write_stage(rejected.withColumn("run_id", F.lit(self.run_id)), f"{self.out}/rejected")
         return got

@@ -41,6 +41,68 @@ def _status(column: int) -> str:
     return "CASE p_partkey % " + str(_K) + "".join(f" WHEN {i} THEN '{v[column]}'" for i, v in enumerate(VARIANTS)) + " END"
 
 
+_ID = "       IDENTIFICATION DIVISION.\n       PROGRAM-ID. P.\n"
+_PD = "       PROCEDURE DIVISION.\n"
+_OUT = "IDENTIFICATION DIVISION.\nPROGRAM-ID. P.\n"
+#: Sources with {n} for the part's number, and what the cleaning leaves of them (O-36 to O-61).
+SOURCES = (
+    # directives, metadata, comments, a COPY and an EXEC block before and in the PROCEDURE DIVISION
+    (_ID + "       CBL LIST\n       AUTHOR. A{n}.\n      * note\n       COPY BOOK{n}.\n           EXEC SQL SELECT {n}\n           END-EXEC.\n" + _PD + "           COPY MORE.\n           EXEC CICS SEND\n           END-EXEC.\n           STOP RUN.\n",
+     _OUT + "\nPROCEDURE DIVISION.\n           CONTINUE.\n           DISPLAY \"EXEC_BLOCK_STUB\".\n    STOP RUN."),
+    # a literal and a statement that go on in the next line; sequence numbers before column 7
+    (_ID + _PD + "000100     DISPLAY \"AB\n000200-    \"CD{n}\".\n           ADD 1\n      -    TO C{n}.\n",
+     _OUT + "PROCEDURE DIVISION.\n    DISPLAY \"ABCD{n}\".\n    ADD 1 TO C{n}."),
+    # STRING blocks, ACCEPT and SET ENVIRONMENT, subscripts and reference modification, runs of dots
+    (_ID + _PD + "           STRING A{n}\n             INTO B.\n           ACCEPT X FROM ENVIRONMENT \"E{n}\".\n           SET ENVIRONMENT Y.\n           MOVE T(1) TO U(2:{n})..\n           IF (A = {n}) STOP RUN.\n",
+     _OUT + "PROCEDURE DIVISION.\n           CONTINUE.\n    ACCEPT X.\n\n    MOVE T TO U.\n    IF (A = {n}) STOP RUN."),
+    # a missing PROGRAM-ID and DATA DIVISION; functions of the configuration, a SCREEN SECTION
+    ("       IDENTIFICATION DIVISION.\n       ENVIRONMENT DIVISION.\n       CONFIGURATION SECTION.\n       FUNCTION ALL{n} INTRINSIC.\n       01 W PIC 9.\n       SCREEN SECTION.\n       01 S{n}.\n" + _PD + "           STOP RUN.\n",
+     "IDENTIFICATION DIVISION.\n       PROGRAM-ID. DUMMY.\nENVIRONMENT DIVISION.\nCONFIGURATION SECTION.\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n01 W PIC 9.\nPROCEDURE DIVISION.\n    STOP RUN."),
+)
+
+
+def _numbered(spark, d, texts) -> DataFrame:
+    n = _c("p_partkey").cast("string")
+    each = F.array(*[F.replace(F.lit(t), F.lit("{n}"), n) for t in texts])
+    text = F.element_at(each, (_c("p_partkey") % len(texts)).cast("int") + 1)
+    return read(spark, d, "part").select(_c("p_partkey").alias("id"), F.concat(F.lit("/src/"), n).alias("path"), F.lit("GENAPP").alias("source_type"), text.cast("binary").alias("content"))
+
+
+def _cleaned(spark, d):
+    return parse_stage.cleaned(_numbered(spark, d, [t for t, _ in SOURCES])).select("id", "content")
+
+
+_NESTED = _HEAD + """           IF A = {n}
+              IF B = 2
+                 MOVE 1 TO C
+              ELSE
+                 MOVE 2 TO C
+              END-IF
+           ELSE
+              EVALUATE TRUE
+                 WHEN D > {n} PERFORM P-1
+                 WHEN OTHER
+                    IF E = 3 STOP RUN END-IF
+              END-EVALUATE
+           END-IF.
+"""
+
+
+def _nested(spark, d):
+    got = parse_stage.rules(parse_stage.parse(_numbered(spark, d, [_NESTED]), partitions=spark.sparkContext.defaultParallelism))
+    return got.select("program_id", "rule_type", "start_line", "end_line", "condition_text", "then_text", "else_text")
+
+
+_N = "p_partkey::VARCHAR"
+_INNER = "'IF B = 2 MOVE 1 TO C ELSE MOVE 2 TO C END-IF'"
+_NESTED_SQL = f"""SELECT p_partkey AS program_id, 'IF' AS rule_type, 4::INT AS start_line, 16::INT AS end_line, 'A = ' || {_N} AS condition_text, {_INNER} AS then_text, 'EVALUATE TRUE WHEN D > ' || {_N} || ' PERFORM P-1 WHEN OTHER IF E = 3 STOP RUN END-IF END-EVALUATE' AS else_text FROM part
+UNION ALL SELECT p_partkey, 'IF', 5, 9, 'B = 2', 'MOVE 1 TO C', 'MOVE 2 TO C' FROM part
+UNION ALL SELECT p_partkey, 'EVALUATE', 12, 12, 'D > ' || {_N}, 'PERFORM P-1', NULL FROM part
+UNION ALL SELECT p_partkey, 'EVALUATE', 13, 14, 'OTHER', 'IF E = 3 STOP RUN END-IF', NULL FROM part
+UNION ALL SELECT p_partkey, 'IF', 14, 14, 'E = 3', 'STOP RUN', NULL FROM part"""
+_CLEANED_SQL = "SELECT p_partkey AS id, replace(CASE p_partkey % " + str(len(SOURCES)) + "".join(f" WHEN {i} THEN '{out}'" for i, (_, out) in enumerate(SOURCES)) + f" END, '{{n}}', {_N}) AS content FROM part"
+
+
 def _candidates(spark, d):
     return parse_stage.candidates(_parsed(spark, d)).select("program_id", "parse_mode", "kind", "start_line", "end_line", F.length("snippet").alias("size"))
 
@@ -137,6 +199,8 @@ _REASON = "CASE WHEN abstract_predicate IS NULL THEN 'missing predicate' WHEN ab
 
 QUERIES = {
     "parse_status": lambda s, d: reports.parse_status(parse_stage.results(_parsed(s, d))),
+    "cleaned_sources": _cleaned,
+    "nested_rules": _nested,
     "parse_statistics": _statistics,
     "parser_errors": _errors,
     "valid_programs": _valid,
@@ -154,6 +218,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "parse_status": f"SELECT {_status(1)} AS status, {_status(2)} AS parse_mode, {_B} AS n, {pct('count(*)', 'sum(count(*)) OVER ()')} AS pct FROM part GROUP BY 1, 2",
+    "cleaned_sources": _CLEANED_SQL,
+    "nested_rules": _NESTED_SQL,
     "parse_statistics": f"WITH x AS (SELECT {_status(1)} AS status, CASE p_partkey % {_K} WHEN 0 THEN 2 ELSE 0 END AS ifs FROM part) SELECT status, {_B} AS files, cast(sum(ifs) AS bigint) AS ifs, cast(count(*) FILTER (WHERE ifs > 0) AS bigint) AS files_with_if, cast(round(cast(avg(ifs) AS decimal(18,6)), 2) AS double) AS ifs_per_file FROM x GROUP BY 1",
     "parser_errors": f"SELECT p_partkey AS program_id, 4::INT AS line_no, 'END-IF' AS offending_token, '/src/' || p_partkey::VARCHAR || '.cbl' AS path FROM part WHERE p_partkey % {_K} = 4",
     "valid_programs": f"SELECT p_partkey AS id, '/src/' || p_partkey::VARCHAR || '.cbl' AS path FROM part WHERE p_partkey % {_K} IN (0, 5)",
