@@ -46,7 +46,7 @@ def learn_lexicon(rows: DataFrame, share: float = SHARE) -> list[str]:
     """
     words = F.split(F.lower(C.text_column()), r"\s+")
     pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
-    pairs = F.when(F.size(words) > 1, pairs).otherwise(F.transform(words, F.xxhash64))
+    pairs = F.when(F.size(words) > 1, pairs).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
     signs = rows.select("doc_id", "label", pairs.alias("p"))
     signs = signs.select("doc_id", "label", *[F.array_min(F.transform("p", lambda h, k=k: F.xxhash64(h, F.lit(k)))).alias(f"s{k}") for k in range(SIGNS)])
     alike = [F.count(F.lit(1)).over(W.partitionBy("label", f"s{k}")) for k in range(SIGNS)]
