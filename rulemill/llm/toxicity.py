@@ -18,6 +18,8 @@ kinds the score is the share of label 1 (0 without any); an empty table gives no
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -140,8 +142,10 @@ class Matcher:
         for t in lexicon:
             b = t.rstrip("*").encode()
             k = len(b) // 2
-            halves.add((b[:k], 0))
-            if len(t.rstrip("*")) >= (FUZZY_STEM if t.endswith("*") else FUZZY):
+            if len(t.rstrip("*")) < (FUZZY_STEM if t.endswith("*") else FUZZY):
+                halves.add((b, 0))  # without edits a word begins with all of it
+            else:
+                halves.add((b[:k], 0))
                 halves |= {(x, 0) for x in swapped(t.rstrip("*"), k)}
                 halves |= {(b[k:], at) for at in (k - 1, k, k + 1)} | {(b[k:], at) for at in (k - 2, k + 2) if len(b) != len(t.rstrip("*"))}
         self.looks = {}
@@ -172,6 +176,12 @@ class Matcher:
         return out
 
 
+@lru_cache(maxsize=1)
+def matcher_of(lexicon: tuple[str, ...]) -> Matcher:
+    """The matcher of a lexicon; one worker's tasks share it and the answers that it keeps."""
+    return Matcher(list(lexicon))
+
+
 def features(text, matcher: Matcher) -> np.ndarray:
     """For each text: log counts and shares of plain, misspelled and quoted hits; then the counts themselves."""
     data, off = C.text_bytes(text)
@@ -219,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = L.SAMPLE_ROWS):
     lexicon = learn_lexicon(sample)
 
     def measure(batches):
-        matcher = Matcher(lexicon)
+        matcher = matcher_of(tuple(lexicon))
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in features(b["text"], matcher)], pa.binary()), b["label"]], names=["x", "label"])
 
@@ -234,7 +244,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     lexicon, w = fit(docs, labels)
 
     def run(batches):
-        matcher = Matcher(lexicon)
+        matcher = matcher_of(tuple(lexicon))
         for b in batches:
             x = features(b["text"], matcher)
             p = L.sigmoid(x[:, :6] @ w[:6] + w[6])
