@@ -15,6 +15,7 @@ between them, blocks times shards, stay in proportion to the input; a task's mem
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
@@ -80,6 +81,25 @@ def _remove() -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def tidied(run: Callable) -> Callable:
+    """An Arrow function over batches whose worker, which lives on, gives its freed memory back at the end of a task."""
+
+    def all_of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return all_of
+
+
 def text_column(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

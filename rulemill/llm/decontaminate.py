@@ -62,7 +62,7 @@ def build(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, SEGMENT_PA, strict=True)], schema=SEGMENT_PA)
                 number += 1
 
-    return C.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text")).mapInArrow(run, SEGMENT))
+    return C.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_column().alias("text")).mapInArrow(C.tidied(run), SEGMENT))
 
 
 class Segment:
@@ -149,7 +149,7 @@ def frequencies(index: DataFrame, tests: Tests) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
     out = np.zeros(len(tests.terms), np.int64)
-    got = index.select("terms", "ends").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the slice
+    got = index.select("terms", "ends").mapInArrow(C.tidied(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the slice
     out[got["term"].to_numpy()] = got["n"].to_numpy()
     return out
 
@@ -219,7 +219,7 @@ def _hits(index: DataFrame, tests: Tests, near: int) -> DataFrame:
                 rows = [(x["segment"], i, np.packbits(hit[edges[i] : edges[i + 1]]).tobytes(), sorted(items.get(i, ())), int(n_near[i])) for i in places]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), HIT_PA, strict=True)], schema=HIT_PA)
 
-    return index.select("segment", "lengths", "terms", "ends", "places").mapInArrow(judge, HIT)
+    return index.select("segment", "lengths", "terms", "ends", "places").mapInArrow(C.tidied(judge), HIT)
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, near: int = NEAR, slice_words: int = SLICE_WORDS) -> DataFrame:

@@ -88,7 +88,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, ids: bool = Fals
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("place", pa.int64()), *([("ids", pa.binary())] if ids else [])])
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, PIECES + (", ids binary" if ids else ""))
+    return rows.mapInArrow(C.tidied(run), PIECES + (", ids binary" if ids else ""))
 
 
 # ---------------------------------------------------------------- the plan, on the driver

@@ -23,6 +23,7 @@ from . import common as C
 from . import labelled as L
 
 BITS, DIM, SPARSE, REACH, HIDDEN, THRESHOLD, SLICES = 14, 32, 4, 2, 32, 0.3, 32
+FLUSH_WORDS = 500_000  # held before a pass over the table, which costs as much as some hundred thousand words
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 RESULT_PA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 #: Classes of bytes for a word's shape: lower, upper, digit, more than ASCII, and each mark its own.
@@ -88,7 +89,7 @@ def word_vectors(docs: DataFrame, bits: int = BITS, dim: int = DIM) -> np.ndarra
                 for b, x in zip(buffer, (w, sh, np.repeat(np.arange(n_docs, n_docs + len(counts)), counts)), strict=True):
                     b.append(x)
                 n_docs, held, seen = n_docs + len(counts), held + len(w), True
-                if held > 2_000_000:  # a pass over the table costs as much as some hundred thousand words
+                if held > FLUSH_WORDS:
                     flush()
                     held = 0
         flush()
@@ -100,7 +101,7 @@ def word_vectors(docs: DataFrame, bits: int = BITS, dim: int = DIM) -> np.ndarra
         total = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t["part"])
         return pa.table({"slice": t["slice"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    got = docs.select("text").mapInArrow(part, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect()  # a table of fixed size
+    got = docs.select("text").mapInArrow(C.tidied(part), "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect()  # a table of fixed size
     out = np.zeros((SLICES, (2 << bits) * dim // SLICES), np.float32)
     for r in got:
         out[r["slice"]] = np.frombuffer(r["part"], np.float32)
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = L.SAMPLE_ROWS):
             x = features(b["text"], vectors)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b["label"]], names=["x", "label"])
 
-    got = L.with_labels(docs, L.training_labels(labels, "quality", rows)).mapInArrow(measure, "x binary, label int").collect()  # at most `rows` rows
+    got = L.with_labels(docs, L.training_labels(labels, "quality", rows)).mapInArrow(C.tidied(measure), "x binary, label int").collect()  # at most `rows` rows
     x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(-1, width)
     y = np.array([r["label"] for r in got], float)
     order = np.lexsort(x.T[::-1]) if len(y) else []
@@ -218,7 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
             held = [L.is_held_out(i) for i in b["doc_id"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(held, pa.bool_()), pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=RESULT_PA)
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(C.tidied(run), RESULT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -229,7 +230,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for b in batches:
             yield b.filter(pa.array(model.scores(features(b["text"], vectors)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.tidied(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
