@@ -10,8 +10,9 @@ documents, directly or not, form a class.
    probability of their weighted Jaccard similarity.  Elements may carry weights; the query's are all 1.
 2. Documents with equal shingle sets are one class from the start, whatever their number: one of them goes on.
 3. Signatures are cut in ``bands`` of ``rows`` coordinates.  Documents that share a band share a bucket.
-   A bucket's members are compared with one member, not with each other: first the smallest id,
-   in a second round a randomly drawn one, leaving out those already in its class.  Members of buckets that still
+   A bucket's members are compared with one member, not with each other: first the one that meets most others over
+   all its buckets (the text that a group of copies was made from meets more of them than they meet one another;
+   of like ones the smallest id), in a second round a randomly drawn one, leaving out those already in its class.  Members of buckets that still
    hold several classes then meet through their rarest shingles (prefix filtering), which loses no pair.
 4. Candidates are verified on whole shingle sets, of 64-bit hashes (two unlike shingles among 10**6 of a pair share one with
    probability 3e-8); classes are connected components by minimum labels.
@@ -154,7 +155,7 @@ def _signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
             flat = pa.ListArray.from_arrays(np.arange(0, (len(counts) + 1) * bands, bands, dtype=np.int32), key.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([part["doc_id"], set_hashes(w, counts), flat], names=["doc_id", "set_hash", "bands"])
 
-    return docs.select("doc_id", C.text_column().alias("text")).mapInArrow(run, SIGNED)
+    return docs.select("doc_id", C.text_column().alias("text")).mapInArrow(C.tidied(run), SIGNED)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -166,7 +167,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             edges = np.r_[0, np.cumsum(counts)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([set_hashes(w, counts), pa.ListArray.from_arrays(edges, w.view(np.int64))], names=["id", "x"])
 
-    return docs.select(C.text_column().alias("text")).mapInArrow(run, "id long, x array<long>")
+    return docs.select(C.text_column().alias("text")).mapInArrow(C.tidied(run), "id long, x array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,12 +225,14 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     # equal shingle sets are one member, under the hash of the set; its least doc_id stands for it
     rep = ok.groupBy("set_hash").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select(F.col("set_hash").alias("id"), F.col("m.doc_id").alias("doc_id"), F.col("m.bands").alias("bands"))
     bucket = rep.select("id", "doc_id", F.explode("bands").alias("bucket"))
-    crowd = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "id")).alias("least")).filter("n > 1")
-    member = C.materialise(bucket.join(crowd, "bucket").select("bucket", "id", F.col("least.id").alias("first")))
+    crowd = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = C.materialise(bucket.join(crowd, "bucket").select("bucket", "id", "doc_id", "n"))
+    meets = member.groupBy("id").agg((-F.sum("n")).alias("met"))
+    first = member.join(meets, "id").groupBy("bucket").agg(F.min(F.struct("met", "doc_id", "id")).alias("m")).select("bucket", F.col("m.id").alias("first"))
     wanted = member.select("id").distinct()
     texts = docs.select("doc_id", "text").join(rep.select("id", "doc_id").join(wanted, "id").select("doc_id").distinct(), "doc_id")
     sets = C.materialise(_sets(texts, shingle).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    star = member.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    star = member.join(first, "bucket").filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     known = C.materialise(_verified(star, sets))
     # rows with one doc_id and different texts are linked through that id
     several = ok.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("z")).filter("a != z").select("doc_id", "a")
@@ -243,7 +246,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
         mixed = x.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
         return C.materialise(x.join(mixed, "bucket"))
 
-    left = placed(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("bucket").join(member, "bucket"))
+    left = placed(member.filter("n > 2").select("bucket", "id"))
     for r in range(1, rounds + 1):
         if left.isEmpty():
             break
