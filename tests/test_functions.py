@@ -125,3 +125,13 @@ def test_text_functions(spark):
     assert one(spark, lambda c: T.error_snippet(c, F.lit(2), 1), "a\nb\nc\nd") == "    1 | a\n    2 | b\n    3 | c"
     assert one(spark, T.system_name, "a.cbl") == "unknown"
     assert one(spark, T.guard_blank, " ")["reason"] == "raw blank"
+
+
+def test_copybook_lines_and_headers(spark):
+    assert one(spark, T.is_copybook, "a\n" * 7 + "* b\n\n05 C.") is True
+    assert one(spark, T.is_copybook, "a\n" * 8 + "05 C.") is False
+    assert one(spark, T.is_copybook, "01 A.\n" + "a\n" * 9 + "id division.") is False
+    assert one(spark, lambda c: T.is_copybook(c, ("PROCEDURE DIVISION",), 1), "* n\n01 A.\nid division.") is True
+    assert one(spark, lambda c: T.is_copybook(c, first=1), "* n\na\n05 C.") is False
+    assert one(spark, T.weak_signal, "working-storage section") is False
+    assert one(spark, lambda c: T.weak_signal(c, ("DIVISION.",)), "working-storage section") is True

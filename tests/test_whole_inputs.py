@@ -38,3 +38,14 @@ def test_reports_over_all_ratings(spark, tmp_path, name):
     got = same(spark, tmp_path, name, {"events": events, "part": part}, (" WHERE event_id < 5000", ""))
     if name == "rating_counts":
         assert got[0]["rows"] == 3003
+
+
+def test_detection_in_any_text(spark, tmp_path):
+    texts = [
+        "20.118.157.107 Betz", "Betz 20.118.157.107 das", "a\n000100 05 B", "a\r01 B", "PROGRAM-ID. X", "id division", "Data Division x", "working-storage", "data division.",
+        "procedure division", "dıvıſıon.", "function id", "functıon-id", "éfunction id", "function idé", "function-idß", "x function idẗ", "٣function id٣", "function\x0bid", "function_id", "", None,
+    ]
+    rows = [(k * 300 + n, t) for k, t in enumerate(texts) for n in (1, 5, 9, 11)] + [(-15, "02 B"), (None, "function id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in same(spark, tmp_path, "unit_detect", {"documents": docs})}
+    assert not got[11]["copybook"] and got[1]["copybook"] and not got[8 * 300 + 11]["weak"] and got[13 * 300 + 1]["function_unit"]
