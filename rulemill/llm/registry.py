@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import ann, decontaminate, lm_score, near_dedup, packing, pii, quality, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, lm_score, near_dedup, packing, pii, quality, source_audit, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_ann": ann.query,
+    "op11_source_audit": source_audit.query,
 }
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op8_near_dedup": near_dedup.ORACLE_SQL,
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op11_source_audit": source_audit.ORACLE_SQL,
 }
