@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import ann, decontaminate, lm_score, near_dedup, packing, pii, quality, source_audit, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, lm_score, near_dedup, packing, pii, quality, source_audit, spelling, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_ann": ann.query,
     "op11_source_audit": source_audit.query,
+    "op12_spelling": spelling.query,
 }
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op8_near_dedup": near_dedup.ORACLE_SQL,
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op11_source_audit": source_audit.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
 }
