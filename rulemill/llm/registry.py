@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import ann, decontaminate, lm_score, near_dedup, packing, pii, quality, source_audit, spelling, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, embedding_dedup, lm_score, near_dedup, packing, pii, quality, source_audit, spelling, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_ann": ann.query,
     "op11_source_audit": source_audit.query,
     "op12_spelling": spelling.query,
+    "op13_embedding_dedup": embedding_dedup.query,
 }
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op11_source_audit": source_audit.ORACLE_SQL,
     "op12_spelling": spelling.ORACLE_SQL,
+    "op13_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }
