@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 # Level numbers that begin data entries, program headers, signal words, file extensions.
 LEVELS = "01|02|03|04|05|10|15|20|49|66|77|88"
 PROGRAM_HEADERS = ("IDENTIFICATION DIVISION", "ID DIVISION", "PROGRAM-ID", "PROCEDURE DIVISION")
-SIGNAL_WORDS = ("IDENTIFICATION DIVISION", "PROGRAM-ID", "PROCEDURE DIVISION", "DATA DIVISION", "WORKING-STORAGE", "DIVISION.")
+SIGNAL_WORDS = ("IDENTIFICATION", "PROGRAM-ID", "PROCEDURE DIVISION", "DATA DIVISION", "WORKING-STORAGE", "ENVIRONMENT DIVISION")
+# Fixed values, as classes of characters that say the same in every engine: what ends a line, white space, and what is no part of a word.
+LINE_END = r"\r\n|[\n-\r\x85\u2028\u2029]"
+WHITE = r"[\t-\r\x1C-\x20\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"
+WORD_END = r"([^0-9A-Z_a-z]|$)"
+LEVEL_LINE = rf"^([0-9A-Z]{{1,6}}[\t-\r ]+)?({LEVELS}){WORD_END}"
+FUNCTION_UNIT = rf"(^|[^0-9A-Z_a-z])FUNCTION(-|[\t-\r ]+)ID{WORD_END}"
 EXTENSIONS = "cbl|cob|cobol"
 
 
@@ -113,15 +119,8 @@ def final_period(c: Column) -> Column:
     return F.when((t == "") | t.endswith("."), t).otherwise(F.concat(t, F.lit(".")))
 
 
-def plain_ascii(c: Column) -> Column:
-    """ı and ſ to the letters they share an upper case with; the vertical tab and what else is not ASCII to '?'.
-
-    Word ends, white space and upper case are then the same here and in a SQL whose patterns know ASCII only."""
-    return F.regexp_replace(F.translate(c, "ıſ", "is"), r"[^\x00-\x0A\x0C-\x7F]", "?")
-
-
 def weak_signal(c: Column, words: tuple[str, ...] = SIGNAL_WORDS) -> Column:
-    """O-62: whether neither a signal word nor more than ten letters speak for a program."""
+    """O-62: whether no signal word, or not more than ten letters, speak for a program."""
     up = F.upper(c)
     word = F.lit(False)
     for w in words:
@@ -129,19 +128,23 @@ def weak_signal(c: Column, words: tuple[str, ...] = SIGNAL_WORDS) -> Column:
     return ~(word & (F.regexp_count(c, F.lit(r"\p{L}")) > 10))
 
 
+def strip_white(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def is_copybook(c: Column, headers: tuple[str, ...] = PROGRAM_HEADERS, first: int = 8) -> Column:
     """O-71: no program header, and one of the first eight meaningful lines begins with a level number."""
-    up = F.upper(F.regexp_replace(c, r"^\s+", ""))
+    up = F.upper(c)
     header = F.lit(False)
     for h in headers:
         header = header | up.contains(h)
-    meaningful = F.filter(F.transform(F.split(up, r"\r\n|\r|\n"), strip_controls), lambda x: (x != "") & ~x.startswith("*"))
-    return ~header & F.exists(F.slice(meaningful, 1, first), lambda x: x.rlike(rf"^([0-9A-Z]{{1,6}}\s+)?({LEVELS})\b"))
+    meaningful = F.filter(F.transform(F.split(up, LINE_END), strip_white), lambda x: (x != "") & ~x.startswith("*"))
+    return ~header & F.exists(F.slice(meaningful, 1, first), lambda x: x.rlike(LEVEL_LINE))
 
 
 def is_function_unit(c: Column) -> Column:
     """O-72."""
-    return F.upper(c).rlike(r"\bFUNCTION(-|\s+)ID\b")
+    return F.upper(c).rlike(FUNCTION_UNIT)
 
 
 def rule_signals(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,14 +59,23 @@ def _signals(spark, d):
 def _detect(spark, d):
     n = F.lpad((_c("doc_id") % 100).cast("string"), 2, "0")
     t = F.concat(F.lit("* note\n"), n, F.lit(" WS-A.\n"), F.coalesce("text", F.lit("")), F.lit("\n"), F.when(_c("doc_id") % 3 == 0, "function  id. x").when(_c("doc_id") % 5 == 0, "procedure division.").otherwise("z"))
-    x = _docs(spark, d).select("doc_id", T.plain_ascii(t).alias("t"))
-    # As the SQL has it: one header, the line after the note (the first meaningful one), two signal words.
-    copybook = T.is_copybook(_c("t"), ("PROCEDURE DIVISION",), 1)
-    weak = T.weak_signal(_c("t"), ("PROCEDURE DIVISION", "DIVISION."))
-    return x.select("doc_id", copybook.alias("copybook"), T.is_function_unit(_c("t")).alias("function_unit"), weak.alias("weak"))
+    x = _docs(spark, d).select("doc_id", t.alias("t"))
+    return x.select("doc_id", T.is_copybook(_c("t")).alias("copybook"), T.is_function_unit(_c("t")).alias("function_unit"), T.weak_signal(_c("t")).alias("weak"))
 
 
 _DETECT_T = "'* note' || chr(10) || lpad((doc_id % 100)::VARCHAR, 2, '0') || ' WS-A.' || chr(10) || coalesce(text, '') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'function  id. x' WHEN doc_id % 5 = 0 THEN 'procedure division.' ELSE 'z' END"
+#: The whole rule: eight meaningful lines and four headers (O-71), six signal words (O-62); upper cases of several letters are spelled out.
+_RE2 = lambda pattern: re.sub(r"\\u(....)", r"\\x{\1}", pattern)
+_MANY = {"ß": "SS", "ŉ": "ʼN", "ǰ": "J̌", "ﬀ": "FF", "ﬁ": "FI", "ﬂ": "FL", "ﬃ": "FFI", "ﬄ": "FFL", "ﬅ": "ST", "ﬆ": "ST", "ẖ": "H̱", "ẗ": "T̈", "ẘ": "W̊", "ẙ": "Y̊", "ẚ": "Aʾ"}
+_UPPER = "t"
+for _from, _to in _MANY.items():
+    _UPPER = f"replace({_UPPER}, '{_from}', '{_to}')"
+_ANY = lambda words: " OR ".join(f"contains(u, '{w}')" for w in words)
+_DETECT_SQL = f"""WITH x AS (SELECT doc_id, {_DETECT_T} AS t FROM documents), y AS (SELECT doc_id, t, upper({_UPPER}) AS u FROM x),
+z AS (SELECT doc_id, t, u, list_filter(list_transform(string_split_regex(u, '{_RE2(T.LINE_END)}'), lambda l: regexp_replace(l, '^{_RE2(T.WHITE)}+|{_RE2(T.WHITE)}+$', '', 'g')), lambda l: l <> '' AND NOT starts_with(l, '*')) AS m FROM y)
+SELECT doc_id, NOT ({_ANY(T.PROGRAM_HEADERS)}) AND len(list_filter(m[1:8], lambda l: regexp_matches(l, '{T.LEVEL_LINE}'))) > 0 AS copybook, regexp_matches(u, '{T.FUNCTION_UNIT}') AS function_unit,
+  NOT (({_ANY(T.SIGNAL_WORDS)}) AND len(regexp_extract_all(t, '\\p{{L}}')) > 10) AS weak FROM z"""
+
 
 
 def _paths(spark, d):
@@ -398,7 +409,7 @@ ORACLE_SQL = {
     "line_split": "WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '[ \\t\\n\\x0B\\f\\r]+$', '')), lambda l: l <> '') AS ls FROM documents) SELECT doc_id, len(ls)::BIGINT AS n_lines, array_to_string(ls, '|') AS joined FROM x",
     "error_snippet": "WITH x AS (SELECT doc_id, (doc_id % 5 + 1)::INT AS n, list_transform(string_split(text, chr(10)), lambda l, i: format('{:5d} | {}', i, l)) AS ls FROM documents) SELECT doc_id, array_to_string(ls[greatest(n - 2, 1):least(n + 2, len(ls))], chr(10)) AS snippet FROM x",
     "rule_signals": "WITH x AS (SELECT doc_id, upper(' if ' || replace(text, ' de ', ' if ') || ' evaluate x') AS t FROM documents), y AS (SELECT doc_id, ((length(t) - length(replace(t, ' IF ', ''))) // 4)::INT AS if_count, ((length(t) - length(replace(t, 'EVALUATE ', ''))) // 9)::INT AS evaluate_count FROM x) SELECT doc_id, if_count > 0 AS has_if, evaluate_count > 0 AS has_evaluate, if_count, evaluate_count FROM y",
-    "unit_detect": f"WITH x AS (SELECT doc_id, upper({_DETECT_T}) AS t FROM documents) SELECT doc_id, NOT contains(t, 'PROCEDURE DIVISION') AND regexp_matches(string_split(t, chr(10))[2], '^({T.LEVELS})\\b') AS copybook, regexp_matches(t, '\\bFUNCTION(-|\\s+)ID\\b') AS function_unit, NOT ((contains(t, 'PROCEDURE DIVISION') OR contains(t, 'DIVISION.')) AND length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10) AS weak FROM x",
+    "unit_detect": _DETECT_SQL,
     "path_functions": f"WITH x AS (SELECT page_id, {_PATH_SQL} AS p FROM pages) SELECT page_id, regexp_matches(lower(p), '\\.(cbl|cob|cobol)$') AS source, coalesce(nullif(string_split(p, '/')[-2], ''), 'unknown') AS system_name, regexp_replace(regexp_replace(p, '^file:', ''), '/+', '/', 'g') AS path FROM x",
     "code_tokens": "SELECT p_partkey, 'ASSIGN TO F-' || p_size::VARCHAR || ' WS-A X .' || chr(10) || chr(10) || 'END.' AS code FROM part",
     "status_share": f"SELECT o_orderstatus, o_orderpriority, {_n}, {_pct('count(*)', 'sum(count(*)) OVER ()')} AS pct FROM orders GROUP BY 1, 2",
