@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import scopes
+from ..operators import line_state, scopes
 from .table_queries import read
 
 #: A program for each part n: k nested IFs, closed by END-IF (even n) or by the ELSE of the next outer one (odd n), then an EVALUATE.
@@ -32,6 +32,18 @@ def _scope_candidates(spark, d):
     return got.select(F.col("id").alias("program_id"), "kind", "start_line", "end_line", F.length("snippet").alias("size"))
 
 
+#: Lines for each part n: a COPY and an EXEC block before the PROCEDURE DIVISION and in it, a comment, a literal over several lines.
+_LINES = """array_join(flatten(array(
+  array(concat('COPY A', n, '.'), 'EXEC SQL'), transform(slice(sequence(0, 5), 1, CAST(n % 5 AS INT)), i -> concat('X', i)), array('END-EXEC.', 'PROCEDURE DIVISION.', concat('       MOVE ', n, ' TO A')),
+  array('EXEC CICS'), transform(slice(sequence(0, 5), 1, CAST(n % 4 AS INT)), i -> 'COPY Y.'), array('END-EXEC.', '      * COPY NOTE', '       COPY B.', '           DISPLAY "AB'),
+  transform(sequence(0, CAST(n % 3 AS INT)), i -> concat('      -    "CD', n)), array('           TO B.'))), '\n')"""
+
+
+def _folded(spark, d):
+    x = read(spark, d, "part").select(F.col("p_partkey").alias("n")).select(F.col("n").alias("id"), F.expr(_LINES).alias("text"))
+    return line_state.folded(x)
+
+
 _PROGRAM = "p AS (SELECT p_partkey AS n, (p_partkey % 7 + 1)::INT AS k, p_partkey % 2 = 0 AS ended, CASE WHEN p_partkey % 2 = 0 THEN 2 * (p_partkey % 7 + 1) ELSE p_partkey % 7 + 1 END::INT AS e FROM part)"
 _NEST = "array_to_string(list_transform(range({0}, k + 1), lambda j: 'IF L' || j || ' > ' || n), '{1}') || '{1}MOVE 1 TO M' || k || '{1}' || array_to_string(list_transform(list_reverse(range({0}, k + 1)), lambda j: 'ELSE ADD ' || j || ' TO S' || CASE WHEN ended THEN '{1}END-IF' ELSE '' END), '{1}')"
 _LEVELS = "i AS (SELECT *, unnest(range(1, k + 1))::INT AS i FROM p)"
@@ -40,6 +52,7 @@ _END = "CASE WHEN ended THEN 3 + k + 2 * (k - i) + 2 ELSE 3 + k + (k - i) + 1 EN
 QUERIES = {
     "scope_rules": _scope_rules,
     "scope_candidates": _scope_candidates,
+    "folded_lines": _folded,
 }
 ORACLE_SQL = {
     "scope_rules": f"""WITH {_PROGRAM}, {_LEVELS}
@@ -51,4 +64,6 @@ UNION ALL SELECT n, 'EVALUATE', 9 + k + e, 10 + k + e, 'OTHER', 'STOP RUN', NULL
     "scope_candidates": f"""WITH {_PROGRAM}, {_LEVELS}
 SELECT n AS program_id, 'IF' AS kind, (2 + i)::INT AS start_line, {_END} AS end_line, length({_NEST.format('i', ' ')})::INT AS size FROM i
 UNION ALL SELECT n, 'EVALUATE', 5 + k + e, 11 + k + e, 13 + 2 * (1 + 9 + length(n::VARCHAR)) + 1 + 8 + length(n::VARCHAR) + 1 + 10 + 1 + 8 + 1 + 12 FROM p""",
+    "folded_lines": """SELECT p_partkey AS id, 'PROCEDURE DIVISION.' || chr(10) || 'MOVE ' || p_partkey || ' TO A' || chr(10) || '           DISPLAY "EXEC_BLOCK_STUB".' || chr(10) || '           CONTINUE.' || chr(10)
+  || '    DISPLAY "AB' || repeat('CD' || p_partkey, (p_partkey % 3 + 1)::INT) || chr(10) || '    TO B.' AS text FROM part""",
 }
