@@ -20,7 +20,7 @@ from .cleaning import STORAGE, STUB, VENDORS
 
 STRETCH = 4096
 # White space as Python's strip() has it.
-WHITE = r"[\t-\r\x1C-\x20\x85\xA0  -     　]"
+WHITE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 CONTINUE = "           CONTINUE."
 _c = F.col
 
