@@ -53,10 +53,21 @@ def incomplete(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("reason", reason).filter("reason IS NOT NULL")
 
 
+def response_text(c: Column) -> Column:
+    """O-214: the output text of a response, or else the first text of all contents of all outputs; only strings that are not blank count."""
+    shape = lambda v: F.schema_of_variant(v) == "STRING"
+    said = lambda v, path: F.try_variant_get(v, path, "variant")
+    root = F.try_parse_json(c)
+    lists = F.transform(F.try_variant_get(root, "$.output", "array<variant>"), lambda o: F.coalesce(F.try_variant_get(o, "$.content", "array<variant>"), F.array().cast("array<variant>")))
+    texts = F.transform(F.flatten(lists), lambda x: said(x, "$.text"))
+    every = F.concat(F.array(said(root, "$.output_text")), F.coalesce(texts, F.array().cast("array<variant>")))
+    strings = F.transform(every, lambda v: F.when(shape(v), F.try_variant_get(v, "$", "string")))
+    return F.get(F.filter(strings, lambda t: strip_controls(t) != ""), F.lit(0))
+
+
 def parse_response(c: Column) -> Column:
-    """O-214, O-215: the label in a response: the output text, or else the first text of its contents."""
-    nested = F.get_json_object(c, "$.output[0].content[0].text")
-    return F.from_json(F.coalesce(F.get_json_object(c, "$.output_text"), nested), LABEL_JSON)
+    """O-214, O-215: the label in a response."""
+    return F.from_json(response_text(c), LABEL_JSON)
 
 
 def has_internal_tokens(title: Column, summary: Column) -> Column:
@@ -134,19 +145,21 @@ def _checked(rows: DataFrame) -> DataFrame:
     return x.withColumn("fault", F.coalesce(silent, fault(F.col("label.title"), F.col("label.rule_summary"), F.col("label.pattern"), F.col("label.confidence"))))
 
 
-def label(patterns: DataFrame, examples: DataFrame, done: DataFrame | None = None, labeler: Callable[[dict], str] = offline_labeler, run_id: str = "run_1", model: str = "offline", prompt_version: str = "v1", pause: float = 2.0, store: Callable[[str, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def label(patterns: DataFrame, examples: DataFrame, done: DataFrame | None = None, labeler: Callable[[dict], str] = offline_labeler, run_id: str = "run_1", model: str = "offline", prompt_version: str = "v1", pause: float = 2.0, store: Callable[[str, DataFrame], DataFrame] | None = None, exchange: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """O-210 to O-221: (labels, rejected patterns with their reasons) of the patterns that have no label in this run yet.
 
     ``store(name, rows)`` keeps the responses of an attempt and gives them back, so that both results read the same
-    answers and none is asked for twice; the pipeline writes them as tables.  Without it they are persisted.
+    answers and none is asked for twice.  Without it they are persisted.  ``exchange(rows, attempt)`` asks in place of both (see
+    exchange.py): it keeps the answers itself.
     """
     store = store or (lambda _name, rows: rows.persist())
+    exchange = exchange or (lambda rows, attempt: store(("responses", "corrections")[attempt - 1], ask(rows, labeler, pause)))
     todo = missing(patterns, done.filter(F.col("run_id") == run_id), ["abstract_canonical_key"]) if done is not None else patterns
     bad = incomplete(todo).select("abstract_canonical_key", "reason")
     ready = prompts(missing(todo, bad, ["abstract_canonical_key"]), examples)
-    first = _checked(store("responses", ask(ready, labeler, pause)))
+    first = _checked(exchange(ready, 1))
     again = first.filter("fault IS NOT NULL").withColumn("prompt", F.concat_ws("\n\n", "prompt", F.concat(F.lit("Correct this and answer again: "), "fault"))).drop("response", "label", "fault")
-    second = _checked(store("corrections", ask(again, labeler, pause)))  # O-218: one corrective attempt
+    second = _checked(exchange(again, 2))  # O-218: one corrective attempt
     every = first.filter("fault IS NULL").unionByName(second)
     out = every.filter("fault IS NULL").select(F.lit(run_id).alias("run_id"), "abstract_canonical_key", "kind", "label.title", "label.rule_summary", "label.pattern", "label.confidence", F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"))
     return out, bad.unionByName(every.filter("fault IS NOT NULL").select("abstract_canonical_key", F.col("fault").alias("reason")))

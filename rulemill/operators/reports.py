@@ -34,6 +34,22 @@ def stability(runs: list[DataFrame], key: str, value: str) -> DataFrame:
     return got.select("total", *same, *[exact2(100.0 * F.col(k) / F.nullif(F.col("total"), F.lit(0))).alias(f"pct_{k}") for k in same])
 
 
+def agreement(labels: DataFrame, key: str, value: str, run: str = "run_id") -> DataFrame:
+    """R-4 for any number of runs, in one pass over their rows: of the keys that all runs label, how many agree, by pair of runs and in all (run_a and run_b null).
+
+    One shuffle by key brings the values of a key together, one a run; pairs are made of those (k * (k - 1) / 2 of k runs) and
+    summed before the second shuffle.  Runs are few; their number is a scalar of the same rows.  A null value agrees with nothing.
+    """
+    runs = labels.select(F.count_distinct(run).alias("k"))
+    each = labels.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(F.col(run).alias("r"), F.col(value).alias("v")))).alias("x"))
+    full = each.filter((F.size("x") == runs.scalar()) & (F.size(F.array_distinct("x.r")) == F.size("x"))).select("x")
+    same = "coalesce(x[i].v = x[j].v, false)"
+    pairs = f"flatten(transform(sequence(0, size(x) - 1), i -> transform(filter(sequence(0, size(x) - 1), j -> j > i), j -> struct(x[i].r AS run_a, x[j].r AS run_b, {same} AS same))))"
+    everyone = "array(struct(CAST(NULL AS STRING) AS run_a, CAST(NULL AS STRING) AS run_b, coalesce(forall(x, y -> y.v = x[0].v), false) AS same))"
+    got = full.select(F.inline(F.expr(f"concat({pairs}, {everyone})"))).groupBy("run_a", "run_b").agg(count_rows().alias("total"), F.count_if("same").alias("agree"))
+    return got.select("run_a", "run_b", "total", "agree", exact2(100.0 * F.col("agree") / F.col("total")).alias("pct"))
+
+
 def long_ratings(ratings: DataFrame) -> DataFrame:
     """O-196: (sample_no, evaluator, question, rating)."""
     return ratings.unpivot(["sample_no", "evaluator"], list(QUESTIONS), "question", "rating")

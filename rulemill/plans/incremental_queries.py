@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, rules
+from ..operators import incremental, reports, rules
 from ..sources import manifest
 from ..sources.buckets import Buckets, scratch
 from .rule_queries import ABST, CANON, RULES_SRC, source
@@ -47,6 +47,14 @@ def _changes(spark, d):
     return manifest.compared(x.filter(k != 0).drop("doc_id"), new.drop("doc_id"))
 
 
+def _agreement(spark, d):
+    """Five runs of labels: each differs from the first where its number divides the part's, and the last lacks some."""
+    x = read(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("r"))
+    v = (F.col("p_size") + F.when(F.col("p_partkey") % (F.col("r") + 1) == 0, F.col("r")).otherwise(0)) % 5
+    rows = x.filter("r < 5 OR p_partkey % 9 > 0").select("p_partkey", F.concat(F.lit("run_"), "r").alias("run_id"), v.cast("string").alias("pattern"))
+    return reports.agreement(rows, "p_partkey", "pattern")
+
+
 _AFTER = f"""src AS (SELECT * REPLACE (CASE WHEN program_id % 7 = 1 THEN 'STOP RUN.' ELSE then_text END AS then_text) FROM ({RULES_SRC}lineitem) WHERE program_id % 7 <> 0
 UNION ALL SELECT * FROM ({RULES_SRC}lineitem) WHERE program_id % 7 = 2)"""
 _BEFORE = f"src AS ({RULES_SRC}lineitem)"
@@ -56,10 +64,14 @@ QUERIES = {
     "merged_abstract": lambda s, d: _merged(incremental.abstract, s, d),
     "replaced_programs": _replaced,
     "manifest_changes": _changes,
+    "run_agreement": _agreement,
 }
 ORACLE_SQL = {
     "merged_canonical": f"WITH {CANON.replace(_BEFORE, _AFTER)} SELECT * FROM canon",
     "merged_abstract": f"WITH {ABST.replace(_BEFORE, _AFTER)} SELECT * FROM pats",
     "replaced_programs": "SELECT l_orderkey AS program_id, l_linenumber AS start_line, l_returnflag AS then_text FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 < 2) UNION ALL SELECT o_orderkey, 1, 'again' FROM orders WHERE o_orderkey % 5 = 0",
     "manifest_changes": "SELECT '/src/' || doc_id AS path, CASE doc_id % 11 WHEN 0 THEN 'new' WHEN 1 THEN 'vanished' WHEN 2 THEN 'changed' WHEN 3 THEN 'changed' ELSE 'same' END AS change FROM documents",
+    "run_agreement": """WITH x AS (SELECT p_partkey, r, (p_size + CASE WHEN p_partkey % (r + 1) = 0 THEN r ELSE 0 END) % 5 AS v FROM part CROSS JOIN generate_series(1, 5) g(r) WHERE p_partkey % 9 > 0),
+y AS (SELECT 'run_' || a.r AS run_a, 'run_' || b.r AS run_b, a.v = b.v AS same FROM x a JOIN x b ON a.p_partkey = b.p_partkey AND a.r < b.r UNION ALL SELECT NULL, NULL, min(v) = max(v) FROM x GROUP BY p_partkey)
+SELECT run_a, run_b, count(*) AS total, count(*) FILTER (WHERE same) AS agree, cast(round(cast(100.0 * count(*) FILTER (WHERE same) / count(*) AS decimal(18,6)), 2) AS double) AS pct FROM y GROUP BY 1, 2""",
 }

@@ -2,7 +2,9 @@
 
 Every stage reads its predecessor's table and replaces its own; a stage whose table is complete is passed over
 with resume=True, so a run that broke off goes on where it stopped.  Files that fail become rows with a status,
-patterns that fail become rejects with a reason; neither ends the run.
+patterns that fail become rejects with a reason; neither ends the run.  Labels and rejects are kept by run_id, so several runs stand side by side
+(``reports.agreement`` compares them); a run asks only for patterns that it has no label of.  Each step leaves a row of
+metrics when it ends, FAILED included, and each run a row for the job.
 """
 
 from __future__ import annotations
@@ -14,56 +16,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import labels, parse_stage, rules
+from ..operators import exchange, labels, parse_stage, rules
 from ..sources import corpus
 
 STEPS = ("programs", "parsed", "parse_results", "candidates", "extracted", "normalized", "canonical", "abstract", "labels")
 #: The table whose rows a step reads, where there is one.
 SOURCES = {"parsed": "programs", "parse_results": "parsed", "candidates": "parsed", "extracted": "parsed", "normalized": "extracted", "canonical": "normalized", "abstract": "normalized", "labels": "abstract"}
 JOB = "decisionRuleJob"
+#: Tables that are kept by run_id, with their columns.
+BY_RUN = {"labels": S.LABEL, "rejected": "abstract_canonical_key string, reason string, run_id string"}
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, corpus_root: str, out_dir: str, import_mode: str = "full", parity: bool = False, labeler=labels.offline_labeler, run_id: str = "run_1", partitions: int | None = None):
+    def __init__(self, spark: SparkSession, corpus_root: str, out_dir: str, import_mode: str = "full", parity: bool = False, labeler=labels.offline_labeler, run_id: str = "run_1", partitions: int | None = None, model: str = "offline", pause: float = 2.0):
         self.spark, self.root, self.out = spark, corpus_root, out_dir.rstrip("/")
         self.import_mode, self.parity, self.labeler, self.run_id, self.partitions = import_mode, parity, labeler, run_id, partitions
+        self.model, self.pause = model, pause
         self.metrics: list[tuple] = []
 
     def table(self, name: str) -> DataFrame:
-        return corpus.read_stage(self.spark, f"{self.out}/{name}")
+        path = f"{self.out}/{name}"
+        return self.spark.read.schema(BY_RUN[name]).parquet(path) if name in BY_RUN else corpus.read_stage(self.spark, path)
+
+    def own(self, name: str) -> DataFrame:
+        """The rows of this run, where runs are told apart."""
+        return self.table(name).filter(F.col("run_id") == self.run_id) if name in BY_RUN else self.table(name)
 
     def has(self, name: str) -> bool:
-        return corpus.exists(self.spark, f"{self.out}/{name}/_SUCCESS")
+        return corpus.exists(self.spark, f"{self.out}/{name}/" + (f"run_id={self.run_id}" if name in BY_RUN else "_SUCCESS"))
 
     def run(self, steps=STEPS, resume: bool = False) -> DataFrame:
-        """Run the steps in their order and return their metrics (also written as a table)."""
-        job = int(time.time() * 1000)
-        for name in STEPS:
-            if name in steps and not (resume and self.has(name)):
-                self._step(job, name, getattr(self, f"_{name}"))
-        done = self.spark.createDataFrame(self.metrics, S.METRIC)
-        done.write.mode("append").parquet(f"{self.out}/metrics")
-        return done
+        """Run the steps in their order and return their metrics (also written as a table, each when its step ends)."""
+        job, began, status = int(time.time() * 1000), datetime.now(UTC), "FAILED"
+        first = len(self.metrics)
+        try:
+            for name in STEPS:
+                if name in steps and not (resume and self.has(name)):
+                    self._step(job, name, getattr(self, f"_{name}"))
+            status = "COMPLETED"
+        finally:
+            totals = [sum(m[k] for m in self.metrics[first:]) for k in range(8, 12)]
+            self._record((JOB, job, "Job", status, status, began, *self._since(began), *totals))
+        return self.spark.createDataFrame(self.metrics, S.METRIC)
+
+    @staticmethod
+    def _since(began: datetime) -> tuple[datetime, int]:
+        ended = datetime.now(UTC)
+        return ended, int((ended - began).total_seconds() * 1000)
+
+    def _record(self, row: tuple) -> None:
+        self.spark.createDataFrame([row], S.METRIC).coalesce(1).write.mode("append").parquet(f"{self.out}/metrics")
 
     def _step(self, job: int, name: str, make) -> None:
         """O-222: counts and duration of a step; a failing step is recorded, then raised."""
-        began, status, written, read, filtered, skipped = datetime.now(UTC), "COMPLETED", 0, 0, 0, 0
+        began, status, written, read, filtered, skipped = datetime.now(UTC), "FAILED", 0, 0, 0, 0
         try:
-            corpus.write_stage(make(), f"{self.out}/{name}")
-            written = self.table(name).count()  # of the footers only, as the next one
+            corpus.write_stage(make(), f"{self.out}/{name}", "run_id" if name in BY_RUN else None)
+            written = self.own(name).count()  # of the footers only, as the next one
             read = self.table(SOURCES[name]).count() if name in SOURCES else written
             if name in ("candidates", "extracted"):
                 filtered = self.table("parse_results").filter("status <> 'VALID'").count()
             if name == "labels":
-                skipped = self.table("rejected").count()
+                skipped = self.own("rejected").count()
                 filtered = read - written - skipped
-        except Exception:
-            status = "FAILED"
-            raise
+            status = "COMPLETED"
         finally:
-            ended = datetime.now(UTC)
-            ms = int((ended - began).total_seconds() * 1000)
-            self.metrics.append((JOB, job, name, status, status, began, ended, ms, read, written, filtered, skipped))
+            self.metrics.append((JOB, job, name, status, status, began, *self._since(began), read, written, filtered, skipped))
+            self._record(self.metrics[-1])
 
     def _programs(self) -> DataFrame:
         found = corpus.scan(self.spark, self.root)
@@ -95,10 +114,9 @@ class Pipeline:
         return rules.abstract(self.table("normalized"))
 
     def _labels(self) -> DataFrame:
-        def store(name: str, rows: DataFrame) -> DataFrame:
-            corpus.write_stage(rows, f"{self.out}/{name}")
-            return self.table(name)
-
-        got, rejected = labels.label(self.table("abstract"), rules.examples(self.table("normalized")), labeler=self.labeler, run_id=self.run_id, store=store)
-        corpus.write_stage(rejected.withColumn("run_id", F.lit(self.run_id)), f"{self.out}/rejected")
-        return got
+        """The labels of this run: those that it has, and those of the patterns that it has none of (O-220)."""
+        done = self.own("labels") if self.has("labels") else self.spark.createDataFrame([], S.LABEL)
+        asked = exchange.Exchange(self.spark, f"{self.out}/answers", self.labeler, self.run_id, self.model, pause=self.pause)
+        got, rejected = labels.label(self.table("abstract"), rules.examples(self.table("normalized")), done, run_id=self.run_id, model=self.model, exchange=asked.ask)
+        corpus.write_stage(rejected.withColumn("run_id", F.lit(self.run_id)), f"{self.out}/rejected", "run_id")
+        return done.unionByName(got)

@@ -230,7 +230,20 @@ def _guardrail(spark, d):
 
 def _label_json(spark, d):
     inner = F.to_json(F.struct(_c("title"), _c("rule_summary"), _c("pattern"), _c("confidence")))
-    whole = F.when(_c("event_id") % 2 == 0, F.to_json(F.struct(inner.alias("output_text")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(inner.alias("text"))).alias("content"))).alias("output"))))
+    json = lambda **parts: F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))
+    content = lambda *texts: F.array(*[F.struct(t.alias("text")) for t in texts])
+    item = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("content"))
+    none, blank = F.lit(None).cast("array<struct<text: string>>"), F.lit(" \n")
+    # the text itself; in the first content; behind an output without contents; behind a blank content; beside a blank text; behind a number
+    shapes = [
+        json(output_text=inner, output=F.array(item("message", content(F.lit("{}"))))),
+        json(output=F.array(item("message", content(inner)))),
+        json(output=F.array(item("reasoning", none), item("message", content(inner, F.lit("{}"))))),
+        json(output=F.array(item("message", content(blank, inner)))),
+        json(output_text=blank, output=F.array(item("message", content(blank)), item("message", content(inner)))),
+        F.concat(F.lit('{"output_text": 5, "output": [{"content": "x"}, {"content": [{"text": 7}, {"refusal": "no"}, '), F.to_json(F.struct(inner.alias("text"))), F.lit("]}]}")),
+    ]
+    whole = F.element_at(F.array(*shapes), (_c("event_id") % len(shapes) + 1).cast("int"))
     return _labels(spark, d).select("event_id", labels.parse_response(whole).alias("x")).select("event_id", "x.*")
 
 

@@ -58,9 +58,10 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_stage(df: DataFrame, path: str) -> None:
-    """O-06, O-16, O-19: a stage's table, replacing what is there."""
-    df.write.mode("overwrite").parquet(path)
+def write_stage(df: DataFrame, path: str, part: str | None = None) -> None:
+    """O-06, O-16, O-19: a stage's table, replacing what is there; with ``part`` only the parts (values of that column) that df has rows of."""
+    out = df.write.mode("overwrite")
+    (out.option("partitionOverwriteMode", "dynamic").partitionBy(part) if part else out).parquet(path)
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
