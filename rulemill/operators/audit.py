@@ -214,6 +214,52 @@ def mixed(rows: DataFrame) -> DataFrame:
     return one("C-28", "S6", mixed_keys(rows.filter("canonical_key IS NOT NULL"), ["canonical_key"], ["kind", "has_else"]))
 
 
+def _by_keys(rows: DataFrame, keys: list[str], weight: str | None, **parts: Column) -> DataFrame:
+    """Keyed rows grouped by each of the keys and as a whole in one pass: which (0 for the whole), key, n (rows with it) and the parts."""
+    n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
+    x = rows.select(*rows.columns, *[F.col(k).alias(f"_{k}") for k in keys])
+    sets = [[f"_{k}"] for k in keys] + [[]]
+    which = F.lit(0)
+    for i, k in enumerate(keys, 1):
+        which = F.when(F.grouping(f"_{k}") == 0, i).otherwise(which)
+    held = [F.sum(F.when(F.col(k).isNotNull(), F.col(weight) if weight else F.lit(1))).alias(f"held_{i}") for i, k in enumerate(keys, 1)]
+    got = x.groupingSets(sets, *[f"_{k}" for k in keys]).agg(which.alias("which"), n.cast("long").alias("n"), *held, *[c.alias(k) for k, c in parts.items()])
+    return got.withColumn("key", F.coalesce(*[f"_{k}" for k in keys])).filter("which = 0 OR key IS NOT NULL")
+
+
+def _told(counts: DataFrame, stage: str, checks: list[str]) -> DataFrame:
+    long = counts.unpivot([], checks, "check_id", "violations")
+    return long.select("check_id", F.lit(stage).alias("stage"), F.coalesce(F.col("violations"), F.lit(0)).cast("long").alias("violations"), F.when(F.coalesce("violations", F.lit(0)) == 0, OK).otherwise(FAIL).alias("status"))
+
+
+def _of_patterns(which: int) -> tuple[Column, Column]:
+    """Of the patterns under a key: how many keys occur more than once, and how far their occurrences are from the rows that have the key."""
+    own = F.col("which") == which
+    lost = F.abs(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) - F.coalesce(F.sum(F.when(F.col("which") == 0, F.col(f"held_{which}"))), F.lit(0)))
+    return F.count(F.when(own, F.col("key"))) - F.count_distinct(F.when(own, F.col("key"))), lost
+
+
+def canonical_stage(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """C-24, C-25, C-26 and C-28 from one pass over the keyed rows."""
+    mixed_ = (F.min("kind") != F.max("kind")) | (F.min("has_else") != F.max("has_else"))
+    x = _by_keys(rows, ["canonical_key"], weight, mixed=mixed_)
+    own = F.col("which") == 1
+    twice, lost = _of_patterns(1)
+    return _told(x.agg(F.count_if(own & ~F.col("key").rlike("^[0-9a-f]{64}$")).alias("C-24"), twice.alias("C-25"), lost.alias("C-26"), F.count_if(own & F.col("mixed")).alias("C-28")), "S6", ["C-24", "C-25", "C-26", "C-28"])
+
+
+def abstract_stage(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """C-29 to C-33 from one pass over the keyed rows."""
+    _define()
+    texts = {c: F.min(c) for c in ("abstract_predicate", "abstract_then", "abstract_else")}
+    x = _by_keys(rows, ["abstract_canonical_key", "canonical_key"], weight, **texts)
+    own = F.col("which") == 1
+    twice, lost = _of_patterns(1)
+    more = F.greatest(F.count_if(own) - F.count_if(F.col("which") == 2), F.lit(0))
+    checks = {"C-29": more, "C-30": twice, **{k: F.count_if(own & cond) for k, (cond, _) in ABSTRACT.items()}, "C-33": lost}
+    return _told(x.agg(*[v.alias(k) for k, v in checks.items()]), "S7", list(checks))
+
+
 def coverage(patterns: DataFrame, labels_: DataFrame) -> DataFrame:
     """C-34, C-35: patterns without a label; labels without a pattern."""
     return one("C-34", "S8", missing(patterns, labels_, ["abstract_canonical_key"])).unionByName(one("C-35", "S8", missing(labels_, patterns, ["abstract_canonical_key"])))
@@ -241,6 +287,6 @@ def parser_errors(results: DataFrame, programs: DataFrame) -> DataFrame:
 
 def reduction_percent(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """C-23."""
-    a, b = rows.agg(count_rows().alias("normalized_rules")), patterns.agg(count_rows().alias("canonical_patterns"))
-    return a.join(b, F.lit(True)).withColumn("reduction_pct", exact2(100.0 * (1 - F.col("canonical_patterns") / F.nullif(F.col("normalized_rules"), F.lit(0)))))
-
+    a = rows.agg(count_rows().alias("normalized_rules"))
+    b = patterns.agg(count_rows().alias("n")).scalar()
+    return a.withColumn("canonical_patterns", b).withColumn("reduction_pct", exact2(100.0 * (1 - F.col("canonical_patterns") / F.nullif(F.col("normalized_rules"), F.lit(0)))))

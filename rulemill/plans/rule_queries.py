@@ -224,8 +224,9 @@ def canonical_share(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: canonical rules of each kind with their share of all rule instances."""
     rows = keys.with_canonical_key(normalize.normalize_rules(source(spark, d).groupBy(*rules.RULE_COLUMNS).agg(count_rows().alias("weight"))))
     canon = rules.canonical(rows, "weight").select("canonical_key", "kind", "condition_norm", "then_norm", F.col("occurrences").cast("long").alias("occurrences"))
-    total = canon.agg(F.sum("occurrences").alias("total"))
-    return canon.join(total, F.lit(True)).select("canonical_key", "kind", "condition_norm", "then_norm", "occurrences", reports.exact2(100.0 * F.col("occurrences") / F.col("total")).alias("pct"))
+    # the total as a scalar of the same rows: no join, and no window without a key
+    total = rows.filter("canonical_key IS NOT NULL").agg(F.sum("weight").alias("total")).scalar()
+    return canon.select("canonical_key", "kind", "condition_norm", "then_norm", "occurrences", reports.exact2(100.0 * F.col("occurrences") / total).alias("pct"))
 
 
 def _canonical(spark, d):
@@ -260,16 +261,11 @@ def _battery(spark, d):
 
 
 def _audit_s6(spark, d):
-    rows = _distinct(spark, d)
-    canon, key = rules.canonical(rows, "weight"), "canonical_key"
-    return audit.key_format(canon, key, "C-24", "S6").unionByName(audit.key_unique(canon, key, "C-25", "S6")).unionByName(audit.conserved(rows, canon, key, "C-26", "S6", "weight")).unionByName(audit.mixed(rows))
+    return audit.canonical_stage(_distinct(spark, d), "weight")
 
 
 def _audit_s7(spark, d):
-    rows = _distinct(spark, d)
-    pats, key = rules.abstract(rows, "weight"), "abstract_canonical_key"
-    sizes = audit.not_more(pats, rules.canonical(rows, "weight"))
-    return sizes.unionByName(audit.key_unique(pats, key, "C-30", "S7")).unionByName(audit.conserved(rows, pats, key, "C-33", "S7", "weight")).unionByName(audit.abstracts(pats))
+    return audit.abstract_stage(_distinct(spark, d), "weight")
 
 
 def _counts_of(names: list[str]):

@@ -112,3 +112,16 @@ def test_transient_errors_are_tried_again():
     assert labels.call(flaky, {}, pause=0) == "ok" and len(seen) == 3
     seen.clear()
     assert labels.call(lambda r: (_ for _ in ()).throw(labels.TransientError()), {}, pause=0) is None
+
+
+def test_one_pass_audits_find_what_they_look_for(spark):
+    """Against the checks taken one by one over rows with a broken key, a mixed one, rows without keys and bad abstract texts."""
+    rows = [("a" * 64, "IF", True, "b" * 64, "VAR1 = <N>", "x", None, 2), ("a" * 64, "EVALUATE", True, "b" * 64, "VAR1 = <N>", "x", None, 3), ("short", "IF", False, "c" * 64, " ", "x", None, 1), (None, "IF", False, None, None, None, None, 7), ("d" * 64, "IF", False, "e" * 64, "VAR = 1", "x", None, 4)]
+    df = spark.createDataFrame(rows, "canonical_key string, kind string, has_else boolean, abstract_canonical_key string, abstract_predicate string, abstract_then string, abstract_else string, weight long")
+    got = lambda x: {r["check_id"]: (r["violations"], r["status"]) for r in x.collect()}
+    assert got(audit.canonical_stage(df, "weight")) == {"C-24": (1, "FAIL"), "C-25": (0, "OK"), "C-26": (0, "OK"), "C-28": (1, "FAIL")}
+    assert got(audit.abstract_stage(df, "weight")) == {"C-29": (0, "OK"), "C-30": (0, "OK"), "C-31": (1, "FAIL"), "C-32": (1, "FAIL"), "C-33": (0, "OK")}
+    assert got(audit.canonical_stage(df)) == got(audit.canonical_stage(df, "weight"))
+    assert {v for v, _ in got(audit.abstract_stage(df.filter("false"))).values()} == {0}
+    plan = audit.abstract_stage(df, "weight")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange") <= 4 and "NestedLoop" not in plan
