@@ -75,12 +75,21 @@ def cleaned(programs: DataFrame, parity: bool = False) -> DataFrame:
     return programs.select("id", "content").mapInArrow(run, "id long, content string, reason string")
 
 
+#: How the message of a failure begins that no status foresees; its class follows.
+UNFORESEEN = "Unforeseen "
+
+
+def unforeseen():
+    """Whether a parse result stands for such a failure."""
+    return (F.col("status") == "PARSER_ERROR") & F.col("message").startswith(UNFORESEEN)
+
+
 def parse_safely(content: bytes | None, parity: bool = False) -> dict:
     """O-221: parse_source, but what no status foresees becomes a row with PARSER_ERROR instead of the end of the stage."""
     try:
         return parse_source(content, parity)
     except Exception as e:  # noqa: BLE001 - any failure of one file must stay that file's
-        return parse_source(None) | {"status": "PARSER_ERROR", "message": cut(f"{type(e).__name__}: {e}", _MAX["message"])}
+        return parse_source(None) | {"status": "PARSER_ERROR", "message": cut(f"{UNFORESEEN}{type(e).__name__}: {e}", _MAX["message"])}
 
 
 def parse(programs: DataFrame, parity: bool = False, partitions: int | None = None) -> DataFrame:

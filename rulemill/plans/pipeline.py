@@ -5,6 +5,10 @@ with resume=True, so a run that broke off goes on where it stopped.  Files that
 patterns that fail become rejects with a reason; neither ends the run.  Labels and rejects are kept by run_id, so several runs stand side by side
 (``reports.agreement`` compares them); a run asks only for patterns that it has no label of.  Each step leaves a row of
 metrics when it ends, FAILED included, and each run a row for the job.
+
+Stage tables by program lie in buckets of it, and the canonical and abstract rules are kept with counts that can be taken back: ``refresh`` parses
+some programs anew and brings all of them up to date, reading and rewriting only the buckets that those programs and their keys fall in.
+``skip_limit`` ends a run in which more files than that failed for a reason that no status foresees.
 """
 
 from __future__ import annotations
@@ -16,34 +20,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import exchange, labels, parse_stage, rules
+from ..operators import exchange, incremental, labels, parse_stage, rules
 from ..sources import corpus
+from ..sources.buckets import Buckets
 
 STEPS = ("programs", "parsed", "parse_results", "candidates", "extracted", "normalized", "canonical", "abstract", "labels")
 #: The table whose rows a step reads, where there is one.
 SOURCES = {"parsed": "programs", "parse_results": "parsed", "candidates": "parsed", "extracted": "parsed", "normalized": "extracted", "canonical": "normalized", "abstract": "normalized", "labels": "abstract"}
 JOB = "decisionRuleJob"
+#: Tables in buckets of a program, with the column that names it; and those that are merged.
+BY_PROGRAM = {"parsed": "id", "parse_results": "program_id", "candidates": "program_id", "extracted": "program_id", "normalized": "program_id"}
+MERGED = {"canonical": incremental.canonical, "abstract": incremental.abstract}
 #: Tables that are kept by run_id, with their columns.
 BY_RUN = {"labels": S.LABEL, "rejected": "abstract_canonical_key string, reason string, run_id string"}
 
 
+class SkipLimitError(Exception):
+    """More files failed than a run may skip (O-221)."""
+
+
 class Pipeline:
-    def __init__(self, spark: SparkSession, corpus_root: str, out_dir: str, import_mode: str = "full", parity: bool = False, labeler=labels.offline_labeler, run_id: str = "run_1", partitions: int | None = None, model: str = "offline", pause: float = 2.0):
+    def __init__(self, spark: SparkSession, corpus_root: str, out_dir: str, import_mode: str = "full", parity: bool = False, labeler=labels.offline_labeler, run_id: str = "run_1", partitions: int | None = None, model: str = "offline", pause: float = 2.0, buckets: int = 64, skip_limit: int | None = None):
         self.spark, self.root, self.out = spark, corpus_root, out_dir.rstrip("/")
         self.import_mode, self.parity, self.labeler, self.run_id, self.partitions = import_mode, parity, labeler, run_id, partitions
-        self.model, self.pause = model, pause
+        self.model, self.pause, self.buckets, self.skip_limit = model, pause, buckets, skip_limit
         self.metrics: list[tuple] = []
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.out}/{name}"
+        if name in BY_PROGRAM:
+            return self.by_program(name).read()
+        if name in MERGED:
+            return self.merged(name).read()
         return self.spark.read.schema(BY_RUN[name]).parquet(path) if name in BY_RUN else corpus.read_stage(self.spark, path)
 
+    def by_program(self, name: str) -> Buckets:
+        return Buckets(self.spark, f"{self.out}/{name}", BY_PROGRAM[name], self.buckets)
+
+    def merged(self, name: str) -> incremental.Rebuilt:
+        return MERGED[name](self.spark, f"{self.out}/{name}", self.buckets)
+
+    def _write(self, name: str, rows: DataFrame) -> None:
+        if name in BY_PROGRAM:
+            self.by_program(name).write(rows)
+        elif name in MERGED:
+            self.merged(name).rebuild(rows)
+        else:
+            corpus.write_stage(rows, f"{self.out}/{name}", "run_id" if name in BY_RUN else None)
+
     def own(self, name: str) -> DataFrame:
         """The rows of this run, where runs are told apart."""
         return self.table(name).filter(F.col("run_id") == self.run_id) if name in BY_RUN else self.table(name)
 
     def has(self, name: str) -> bool:
-        return corpus.exists(self.spark, f"{self.out}/{name}/" + (f"run_id={self.run_id}" if name in BY_RUN else "_SUCCESS"))
+        last = f"run_id={self.run_id}" if name in BY_RUN else "result/_SUCCESS" if name in MERGED else "_SUCCESS"
+        return corpus.exists(self.spark, f"{self.out}/{name}/{last}")
 
     def run(self, steps=STEPS, resume: bool = False) -> DataFrame:
         """Run the steps in their order and return their metrics (also written as a table, each when its step ends)."""
@@ -71,11 +102,15 @@ class Pipeline:
         """O-222: counts and duration of a step; a failing step is recorded, then raised."""
         began, status, written, read, filtered, skipped = datetime.now(UTC), "FAILED", 0, 0, 0, 0
         try:
-            corpus.write_stage(make(), f"{self.out}/{name}", "run_id" if name in BY_RUN else None)
+            self._write(name, make())
             written = self.own(name).count()  # of the footers only, as the next one
             read = self.table(SOURCES[name]).count() if name in SOURCES else written
             if name in ("candidates", "extracted"):
                 filtered = self.table("parse_results").filter("status <> 'VALID'").count()
+            if name == "parsed":
+                skipped = self.table("parsed").filter(parse_stage.unforeseen()).count()
+                if self.skip_limit is not None and skipped > self.skip_limit:
+                    raise SkipLimitError(f"{skipped} files failed for no foreseen reason, {self.skip_limit} may")
             if name == "labels":
                 skipped = self.own("rejected").count()
                 filtered = read - written - skipped
@@ -108,10 +143,28 @@ class Pipeline:
         return rules.keyed(self.table("extracted"))
 
     def _canonical(self) -> DataFrame:
-        return rules.canonical(self.table("normalized"))
+        return self.table("normalized")
 
     def _abstract(self) -> DataFrame:
-        return rules.abstract(self.table("normalized"))
+        return self.table("normalized")
+
+    def refresh(self, programs: DataFrame) -> None:
+        """O-17, O-18: these programs (id, path, source_type, content) parsed anew, in all tables from parsed to abstract."""
+
+        def held(name: str, rows: DataFrame) -> DataFrame:
+            corpus.write_stage(rows, f"{self.out}/refreshed/{name}")
+            return corpus.read_stage(self.spark, f"{self.out}/refreshed/{name}")
+
+        parsed = held("parsed", parse_stage.parse(programs, self.parity, self.partitions))
+        keys = held("keys", programs.select(F.col("id").alias("program_id")).distinct())
+        old = self.by_program("normalized").read(self.by_program("normalized").touched(keys))
+        before = held("before", old.join(keys, "program_id", "left_semi"))
+        after = held("after", rules.keyed(parse_stage.rules(parsed)))
+        self.by_program("parsed").replace(parsed, keys.withColumnRenamed("program_id", "id"))
+        for name, rows in (("parse_results", parse_stage.results(parsed)), ("candidates", parse_stage.candidates(parsed)), ("extracted", parse_stage.rules(parsed)), ("normalized", after)):
+            self.by_program(name).replace(rows, keys)
+        for name in MERGED:
+            self.merged(name).apply(after, before)
 
     def _labels(self) -> DataFrame:
         """The labels of this run: those that it has, and those of the patterns that it has none of (O-220)."""

@@ -148,3 +148,53 @@ def test_agreement_of_any_runs(spark):
     got = [tuple(r) for r in reports.agreement(spark.createDataFrame(rows, "run_id string, k int, p string"), "k", "p").collect()]
     assert sorted(got, key=str) == [("r1", "r2", 2, 1, 50.0), (None, None, 2, 1, 50.0)]
     assert reports.agreement(spark.createDataFrame([], "run_id string, k int, p string"), "k", "p").count() == 0
+
+
+def files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_refreshed_programs_leave_what_a_whole_run_leaves(spark, source):
+    folder = source / "src/genapp"
+    for k in range(6):
+        (folder / f"p{k}.cbl").write_text(HEAD + BODY.replace("WS-A = 1", f"WS-A = {k} OR WS-K{k} > 2"))
+    p = Pipeline(spark, str(source / "src"), str(source / "out"), buckets=16)
+    steps = ["programs", "parsed", "parse_results", "candidates", "extracted", "normalized", "canonical", "abstract"]
+    p.run(steps)
+    (folder / "p1.cbl").write_text(HEAD + "           IF NEW-1 = 2 GOBACK END-IF.\n")
+    (folder / "p2.cbl").write_text(HEAD + "           END-IF.\n")
+    changed = p._programs().filter("path LIKE '%p1.cbl' OR path LIKE '%p2.cbl'")
+    before = files(source / "out/extracted")
+    p.refresh(changed)
+    touched = {f"bucket={b}/" for b in p.by_program("extracted").touched(changed.selectExpr("id AS program_id"))}
+    assert all(any(t in f for t in touched) for f in before ^ files(source / "out/extracted")) and before & files(source / "out/extracted")
+    q = Pipeline(spark, str(source / "src"), str(source / "whole"), buckets=16)
+    q.run(steps)
+    for name in steps[2:]:
+        rows = lambda x: sorted(map(repr, map(tuple, x.select(*sorted(x.columns)).collect())))
+        assert rows(p.table(name)) == rows(q.table(name)), name
+    assert p.table("canonical").count() == q.table("canonical").count() > 3
+
+
+def test_a_run_ends_beyond_its_skip_limit(spark, source, monkeypatch):
+    from rulemill.operators import parse_stage
+    from rulemill.plans.pipeline import SkipLimitError
+
+    (source / "src/genapp/b.cbl").write_text(HEAD + BODY)
+    steps = ["programs", "parsed", "parse_results"]
+
+    def breaks(content, parity=False):
+        raise RecursionError("too deep")
+
+    monkeypatch.setattr(parse_stage, "parse_source", lambda c, parity=False, f=parse_stage.parse_source: f(c, parity) if c is None else breaks(c))
+    for module in (parse_stage,):
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        with pytest.raises(SkipLimitError):
+            Pipeline(spark, str(source / "src"), str(source / "out"), skip_limit=1).run(steps)
+        p = Pipeline(spark, str(source / "src"), str(source / "out2"), skip_limit=2)
+        got = {r["step_name"]: r["process_skip_count"] for r in p.run(steps).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(parse_stage)
+    assert got == {"programs": 0, "parsed": 2, "parse_results": 0}
+    assert {r["message"] for r in p.table("parse_results").collect()} == {"Unforeseen RecursionError: too deep"}
