@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, SHARE, NEAR = 13, 20, 10
-SLICE_WORDS = 1_000_000  # words of the windows of a slice: some 20 MB in a task
+SLICE_WORDS = 1_000_000  # words of the windows of a slice: some 210 MB in a task (windows and their order by frequency)
 SEGMENT_BYTES = 2 << 20
 SEGMENT = "segment long, ids array<long>, lengths array<int>, terms binary, ends binary, places binary"
 SEGMENT_PA = pa.schema([("segment", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.binary()), ("ends", pa.binary()), ("places", pa.binary())])

@@ -2,7 +2,8 @@
 
 1. The lexicon comes from the labelled sample (labelled.py): terms and stems (beginnings of words) that
    occur in toxic documents and, but for at most one in ``odds``, nowhere else.  Terms that may be misspelled
-   are kept beside stems that they begin with.  It is a trie.
+   are kept beside stems that they begin with.  It is a trie.  A term needs more than three letters (stars of stems included),
+   and a weight of toxic documents of at least MIN_DOCS and of SHARE of all that the sample has: rarer terms are left out.
 2. A Levenshtein automaton of each word is intersected with the trie: the automaton's state is the row of edit
    distances to the path so far, and branches whose row exceeds the bound are cut.  A term may have one edit from FUZZY
    letters on, a stem from FUZZY_STEM (shorter ones are too near to other words); two letters that changed
