@@ -23,9 +23,10 @@ ABSTRACT = ("canonical_key", "kind", "has_else", "abstract_predicate", "abstract
 WEIGHT = "weight"
 
 
-def counted(rows: DataFrame, key: str, columns: tuple[str, ...], sign: int = 1) -> DataFrame:
-    """Equal rows and their number (times the sign); rows without a key have no part."""
-    return rows.filter(F.col(key).isNotNull()).groupBy(key, *columns).agg((F.lit(sign) * F.count(F.lit(1))).alias(WEIGHT))
+def counted(rows: DataFrame, key: str, columns: tuple[str, ...], sign: int = 1, weight: str | None = None) -> DataFrame:
+    """Equal rows and their number (times the sign); ``weight``: the column that says for how many a row stands; rows without a key have no part."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return rows.filter(F.col(key).isNotNull()).groupBy(key, *columns).agg((F.lit(sign) * n).alias(WEIGHT))
 
 
 def merged(state: DataFrame, delta: DataFrame) -> DataFrame:
@@ -41,14 +42,14 @@ class Rebuilt:
         self.state = Buckets(spark, f"{path.rstrip('/')}/state", key, count)
         self.result = Buckets(spark, f"{path.rstrip('/')}/result", key, count)
 
-    def rebuild(self, rows: DataFrame) -> None:
+    def rebuild(self, rows: DataFrame, weight: str | None = None) -> None:
         """From all rows."""
-        self.state.write(counted(rows, self.key, self.columns))
+        self.state.write(counted(rows, self.key, self.columns, weight=weight))
         self.result.write(self.aggregate(self.state.read(), WEIGHT))
 
-    def apply(self, added: DataFrame, removed: DataFrame) -> list[int]:
+    def apply(self, added: DataFrame, removed: DataFrame, weight: str | None = None) -> list[int]:
         """After a change: the rows that came and those that went; the buckets that were rewritten."""
-        delta = counted(added, self.key, self.columns).unionByName(counted(removed, self.key, self.columns, -1))
+        delta = counted(added, self.key, self.columns, 1, weight).unionByName(counted(removed, self.key, self.columns, -1, weight))
         delta = delta.groupBy(self.key, *self.columns).agg(F.sum(WEIGHT).alias(WEIGHT)).filter(F.col(WEIGHT) != 0)
         buckets = self.state.touched(delta)
         if buckets:

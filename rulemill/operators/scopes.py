@@ -16,6 +16,7 @@ part only in sentences that close them by END.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -182,12 +183,15 @@ def _sentences(tok: DataFrame, events: DataFrame, belongs: DataFrame) -> DataFra
     return x.withColumn("scopes", _with((*SCOPE, "end"), body=body, stop=stop, a=_AT.format("s.owner"), z=_AT.format("s.end")))
 
 
-def extract(programs: DataFrame, mode: str = "FULL", parity: bool = False, fold_all: bool = False) -> Extracted:
-    """Status, candidates (O-90) and rules (O-91 to O-100) of programs (id, text)."""
-    tok = tokens(programs)
+def extract(programs: DataFrame, mode: str = "FULL", parity: bool = False, fold_all: bool = False, hold: Callable[[str, DataFrame], DataFrame] = lambda _name, rows: rows) -> Extracted:
+    """Status, candidates (O-90) and rules (O-91 to O-100) of programs (id, text).
+
+    ``hold(name, rows)`` may keep what several results read (tokens, words with their scopes, sentences) as a table and give it back.
+    """
+    tok = hold("tokens", tokens(programs))
     events = _events(tok, parity)
-    belongs = attached(_structural(events), fold_all)
-    every = _sentences(tok, events, belongs)
+    belongs = hold("attached", attached(_structural(events), fold_all))
+    every = hold("sentences", _sentences(tok, events, belongs))
     status = _status(programs, tok, belongs, every.select("id", F.inline("scopes")))
     valid = every.join(status.filter("status = 'VALID'").select("id"), "id", "left_semi")
     found = valid.select("id", F.inline(F.expr(f"transform(scopes, s -> struct(s.kind AS kind, s.a.line AS start_line, s.z.line AS end_line, {_RAW.format('s.a', 's.z')} AS snippet))")))

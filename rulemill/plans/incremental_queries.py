@@ -22,10 +22,11 @@ def _rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def _merged(make, spark, d):
-    every, added, removed = (rules.keyed(x) for x in _rules(spark, d))
+    # equal raw rules first, so that the text work sees each once
+    every, added, removed = (rules.keyed_distinct(x) for x in _rules(spark, d))
     table = make(spark, scratch(spark), _COUNT)
-    table.rebuild(every)
-    table.apply(added, removed)
+    table.rebuild(every, "weight")
+    table.apply(added, removed, "weight")
     return table.read()
 
 

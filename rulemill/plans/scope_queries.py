@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import line_state, scopes
+from ..sources.buckets import holder
 from .table_queries import read
 
 #: A program for each part n: k nested IFs, closed by END-IF (even n) or by the ELSE of the next outer one (odd n), then an EVALUATE.
@@ -23,12 +24,12 @@ def _nested_programs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scope_rules(spark, d):
-    got = scopes.extract(_nested_programs(spark, d)).rules
+    got = scopes.extract(_nested_programs(spark, d), hold=holder(spark)).rules
     return got.select(F.col("id").alias("program_id"), "rule_type", "start_line", "end_line", "condition_text", "then_text", "else_text", "when_index")
 
 
 def _scope_candidates(spark, d):
-    got = scopes.extract(_nested_programs(spark, d)).candidates
+    got = scopes.extract(_nested_programs(spark, d), hold=holder(spark)).candidates
     return got.select(F.col("id").alias("program_id"), "kind", "start_line", "end_line", F.length("snippet").alias("size"))
 
 

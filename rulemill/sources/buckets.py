@@ -3,6 +3,9 @@
 A bucket is a partition folder.  ``replace`` reads and rewrites only the buckets of the keys it is given, by Spark's dynamic partition overwrite: the
 new files are written beside the table and put in place when all of them are there, so a write that is killed leaves
 the old rows.  Folders of buckets that have lost all rows go after that.
+
+Rows go to their buckets by a rebalancing exchange: large buckets are written by several tasks (also where one key holds much of the table), small ones
+together.  ``count`` decides how much a change rewrites, so it should grow with the table: 64 suit some gigabytes.
 """
 
 from __future__ import annotations
@@ -37,6 +40,17 @@ def scratch(spark: SparkSession) -> str:
     return _SCRATCH[-1][1]
 
 
+def holder(spark: SparkSession):
+    """A function (name, rows) that writes rows as a table in a new scratch folder and gives the table back."""
+    folder = scratch(spark)
+
+    def hold(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    return hold
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -112,6 +126,6 @@ class Buckets:
 
     def _put(self, rows: DataFrame, mode: str) -> list[int]:
         seen = Observation()
-        rows = rows.withColumn(BUCKET, self.of()).repartition(BUCKET).observe(seen, F.collect_set(BUCKET).alias("b"))
+        rows = rows.withColumn(BUCKET, self.of()).hint("rebalance", BUCKET).observe(seen, F.collect_set(BUCKET).alias("b"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(BUCKET).parquet(self.path)
         return list(seen.get["b"] or [])

@@ -66,6 +66,18 @@ def raw(rng, n):
     return [(rng.choice(["IF", "EVALUATE"]), rng.choice(kinds).format(rng.randint(0, 3)) or None, "S", "OTHER", rng.choice(["MOVE 1 TO A", "STOP RUN", "PERFORM P-1", None]), rng.choice([None, "GOBACK"])) for _ in range(n)]
 
 
+def test_weights_stand_for_rows(spark, tmp_path):
+    """Rows counted before the text work give the same table as each row on its own."""
+    rng = random.Random(4)
+    schema = ", ".join(f"{c} string" for c in rules.RULE_COLUMNS)
+    base, added = raw(rng, 80), raw(rng, 20)
+    frame = lambda xs: spark.createDataFrame(xs, schema)
+    table = incremental.canonical(spark, str(tmp_path / "m"), 4)
+    table.rebuild(rules.keyed_distinct(frame(base)), "weight")
+    table.apply(rules.keyed_distinct(frame(added)), rules.keyed_distinct(frame(base[:30])), "weight")
+    assert rows_of(table.read()) == rows_of(rules.canonical(rules.keyed(frame(base[30:] + added))))
+
+
 @pytest.mark.parametrize("level", ["canonical", "abstract"])
 def test_merged_tables_equal_rebuilt_ones(spark, tmp_path, level):
     rng = random.Random(1)

@@ -101,3 +101,10 @@ def test_empty_table_and_clashing_columns(spark):
     same(got, rows)
     none = scopes.extract(table(spark, rows).filter("false"))
     assert none.status.count() == none.candidates.count() == none.rules.count() == 0
+
+
+def test_held_tables_give_the_same(spark):
+    from rulemill.sources.buckets import holder
+
+    rows = programs(24, 11)
+    same(scopes.extract(table(spark, rows), hold=holder(spark)), rows)
