@@ -55,6 +55,7 @@ def _define() -> None:
     if EXTRACTED:
         return
     no_else = F.coalesce(~_c("has_else"), F.lit(False))
+    # The patterns of the checks must equal those of the published checks.
     CANDIDATES.update(
         {
             "C-06": (~_c("kind").isin(*RULE_KIND) | _c("kind").isNull(), FAIL),

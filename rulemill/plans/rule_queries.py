@@ -146,6 +146,7 @@ _IFBAD = f"kind = 'IF' AND ({_blank('condition_norm')} OR {_blank('then_norm')})
 _ELSEBAD = f"(has_else AND {_blank('else_norm')}) OR (NOT has_else AND NOT {_blank('else_norm')})"
 _EVBAD = f"kind = 'EVALUATE' AND ({_blank('subject_norm')} OR {_blank('when_norm')} OR {_blank('then_norm')})"
 _EDGE = "[^[:alnum:]_-]"
+# The patterns of the checks in the three texts below must equal those of the published checks.
 AUDIT_S4 = f"WITH {KEYED} " + " UNION ALL ".join(
     [
         _check("C-10", "S4", f"rule_type = 'IF' AND ({_blank('condition_text')} OR {_blank('then_text')})"),

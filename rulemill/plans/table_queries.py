@@ -26,6 +26,7 @@ def _docs(spark, d):
 
 # ---------------------------------------------------------------- text
 
+# One of each character that the cleaning replaces.
 _DIRT = "chr(13), chr(10), chr(9), 'x', chr(13), 'y', chr(7), ' A, B_C {z} `q` [1]! .. end'"
 _DIRTY = f"concat(text, {_DIRT})"
 
