@@ -42,10 +42,10 @@ class Rebuilt:
         self.state = Buckets(spark, f"{path.rstrip('/')}/state", key, count)
         self.result = Buckets(spark, f"{path.rstrip('/')}/result", key, count)
 
-    def rebuild(self, rows: DataFrame, weight: str | None = None) -> None:
-        """From all rows."""
+    def rebuild(self, rows: DataFrame, weight: str | None = None) -> int:
+        """From all rows; the number of keys."""
         self.state.write(counted(rows, self.key, self.columns, weight=weight))
-        self.result.write(self.aggregate(self.state.read(), WEIGHT))
+        return self.result.write(self.aggregate(self.state.read(), WEIGHT))
 
     def apply(self, added: DataFrame, removed: DataFrame, weight: str | None = None) -> list[int]:
         """After a change: the rows that came and those that went; the buckets that were rewritten."""

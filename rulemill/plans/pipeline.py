@@ -16,7 +16,7 @@ from __future__ import annotations
 import time
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -45,6 +45,7 @@ class Pipeline:
         self.import_mode, self.parity, self.labeler, self.run_id, self.partitions = import_mode, parity, labeler, run_id, partitions
         self.model, self.pause, self.buckets, self.skip_limit = model, pause, buckets, skip_limit
         self.metrics: list[tuple] = []
+        self.written: dict[str, int] = {}  # rows by table, as this pipeline wrote them
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.out}/{name}"
@@ -60,13 +61,15 @@ class Pipeline:
     def merged(self, name: str) -> incremental.Rebuilt:
         return MERGED[name](self.spark, f"{self.out}/{name}", self.buckets)
 
-    def _write(self, name: str, rows: DataFrame) -> None:
+    def _write(self, name: str, rows: DataFrame) -> int:
+        """The number of rows written, observed as they pass: nothing is read for it."""
         if name in BY_PROGRAM:
-            self.by_program(name).write(rows)
-        elif name in MERGED:
-            self.merged(name).rebuild(rows)
-        else:
-            corpus.write_stage(rows, f"{self.out}/{name}", "run_id" if name in BY_RUN else None)
+            return self.by_program(name).write(rows)
+        if name in MERGED:
+            return self.merged(name).rebuild(rows)
+        seen = Observation()
+        corpus.write_stage(rows.observe(seen, F.count(F.lit(1)).alias("n")), f"{self.out}/{name}", "run_id" if name in BY_RUN else None)
+        return seen.get["n"]
 
     def own(self, name: str) -> DataFrame:
         """The rows of this run, where runs are told apart."""
@@ -102,9 +105,9 @@ class Pipeline:
         """O-222: counts and duration of a step; a failing step is recorded, then raised."""
         began, status, written, read, filtered, skipped = datetime.now(UTC), "FAILED", 0, 0, 0, 0
         try:
-            self._write(name, make())
-            written = self.own(name).count()  # of the footers only, as the next one
-            read = self.table(SOURCES[name]).count() if name in SOURCES else written
+            written = self._write(name, make())
+            self.written[name] = written
+            read = written if name not in SOURCES else self.written[SOURCES[name]] if SOURCES[name] in self.written else self.table(SOURCES[name]).count()
             if name in ("candidates", "extracted"):
                 filtered = self.table("parse_results").filter("status <> 'VALID'").count()
             if name == "parsed":
@@ -165,6 +168,7 @@ class Pipeline:
             self.by_program(name).replace(rows, keys)
         for name in MERGED:
             self.merged(name).apply(after, before)
+        self.written.clear()
 
     def _labels(self) -> DataFrame:
         """The labels of this run: those that it has, and those of the patterns that it has none of (O-220)."""

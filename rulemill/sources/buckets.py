@@ -81,15 +81,16 @@ class Buckets:
         rows = rows.filter(F.col(BUCKET).isin(list(buckets))) if buckets is not None else rows
         return rows.drop(BUCKET)
 
-    def write(self, rows: DataFrame) -> None:
-        """All rows anew."""
-        self._put(rows, "static")
+    def write(self, rows: DataFrame) -> int:
+        """All rows anew; their number, counted as they pass."""
+        number = self._put(rows, "static")["n"]
         # a table may lose all its files, but not its columns
         columns = rows.withColumn(BUCKET, self.of()).schema.json()
         files, path = self._columns()
         out = files.create(path, True)
         out.write(bytearray(columns, "utf-8"))
         out.close()
+        return number
 
     def _columns(self):
         """The file system of the table, and where its columns are written."""
@@ -120,12 +121,12 @@ class Buckets:
         """These rows instead of all rows of the buckets."""
         if not buckets:
             return
-        left = set(self._put(rows, "dynamic"))
+        left = set(self._put(rows, "dynamic")["b"] or [])
         for b in set(buckets) - left:
             _delete(self.spark, f"{self.path}/{BUCKET}={b}")
 
-    def _put(self, rows: DataFrame, mode: str) -> list[int]:
+    def _put(self, rows: DataFrame, mode: str) -> dict:
         seen = Observation()
-        rows = rows.withColumn(BUCKET, self.of()).hint("rebalance", BUCKET).observe(seen, F.collect_set(BUCKET).alias("b"))
+        rows = rows.withColumn(BUCKET, self.of()).hint("rebalance", BUCKET).observe(seen, F.collect_set(BUCKET).alias("b"), F.count(F.lit(1)).alias("n"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(BUCKET).parquet(self.path)
-        return list(seen.get["b"] or [])
+        return seen.get

@@ -150,6 +150,16 @@ def test_agreement_of_any_runs(spark):
     assert reports.agreement(spark.createDataFrame([], "run_id string, k int, p string"), "k", "p").count() == 0
 
 
+def test_counts_are_those_of_the_tables(spark, source):
+    (source / "src/genapp/bad.cbl").write_bytes(b"\xff")
+    p = Pipeline(spark, str(source / "src"), str(source / "out"))
+    for row in p.run().collect():
+        assert row["write_count"] == p.own(row["step_name"]).count(), row
+    metrics = {r["step_name"]: r for r in p.table("metrics").collect()}
+    assert (metrics["candidates"]["read_count"], metrics["candidates"]["write_count"], metrics["candidates"]["filter_count"]) == (2, 3, 1)
+    assert metrics["abstract"]["read_count"] == metrics["normalized"]["write_count"] and metrics["Job"]["write_count"] == sum(r["write_count"] for n, r in metrics.items() if n != "Job")
+
+
 def files(path):
     return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
 
