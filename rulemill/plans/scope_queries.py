@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import line_state, scopes
-from ..sources.buckets import holder
 from .table_queries import read
 
 #: A program for each part n: k nested IFs, closed by END-IF (even n) or by the ELSE of the next outer one (odd n), then an EVALUATE.
@@ -18,18 +19,24 @@ _TEXT = """array_join(flatten(array(
   array('.', 'EVALUATE TRUE', concat('WHEN A = ', n), concat('WHEN B = ', n), concat('DISPLAY ', n), 'WHEN OTHER', 'STOP RUN', 'END-EVALUATE.'))), '\\n')"""
 
 
+#: Programs of a task: some megabytes of texts, so that its rows of tokens are sorted in memory.
+PROGRAMS = 10_000
+
+
 def _nested_programs(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "part").select(F.col("p_partkey").alias("n"), (F.col("p_partkey") % 7 + 1).cast("int").alias("k"))
-    return x.select(F.col("n").alias("id"), F.expr(_TEXT).alias("text"))
+    """Dealt by id while they are numbers only; the texts are made behind the exchange, which is the only one."""
+    x = read(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    x = x.repartition(max(1, math.ceil(x.count() / PROGRAMS)), "id")
+    return x.select("id", F.col("id").alias("n"), (F.col("id") % 7 + 1).cast("int").alias("k")).select("id", F.expr(_TEXT).alias("text"))
 
 
 def _scope_rules(spark, d):
-    got = scopes.extract(_nested_programs(spark, d), hold=holder(spark)).rules
+    got = scopes.extract(_nested_programs(spark, d)).rules
     return got.select(F.col("id").alias("program_id"), "rule_type", "start_line", "end_line", "condition_text", "then_text", "else_text", "when_index")
 
 
 def _scope_candidates(spark, d):
-    got = scopes.extract(_nested_programs(spark, d), hold=holder(spark)).candidates
+    got = scopes.extract(_nested_programs(spark, d)).candidates
     return got.select(F.col("id").alias("program_id"), "kind", "start_line", "end_line", F.length("snippet").alias("size"))
 
 
