@@ -61,23 +61,26 @@ def sentences(programs: DataFrame, text: str = "text") -> DataFrame:
     return x.select("id", "sentence", "text", "line", (_c("off") - start).cast("int").alias("at"))
 
 
-#: The pieces of a text, line by line, each with its line; a break of a line is a piece of the next one.
-_PIECES = r"flatten(transform(split(text, '\n'), (l, k) -> transform(concat(IF(k = 0, array(), array('\n')), regexp_extract_all(l, {0}, 0)), t -> struct(t, line + k AS line))))"
-_GAP = r"rlike(x.t, '^(?:[ \t\r\n]|[*]>)')"
-_KEY = r"""IF(rlike(x.t, '^["\']'), '', upper(x.t))"""
-_BAD = r"(length(x.t) = 1 AND NOT rlike(x.t, '[A-Za-z0-9\\p{Nd} \t\r\n=<>().:+*/;&-]'))"
+_QUOTED = PIECE.replace("\\", "\\\\").replace("'", "\\'")
+#: The pieces of a text by lines; a break of a line is a piece of the next one.  What is done for each piece is kept small.
+_BY_LINE = rf"transform(split(text, '\\n'), (l, k) -> concat(IF(k = 0, array(), array('\n')), regexp_extract_all(l, '{_QUOTED}', 0)))"
+_GAP = r"((t < '!' AND left(t, 1) IN (' ', '\t', '\r', '\n')) OR startswith(t, '*>'))"
+_KEYS = r"""transform(words, t -> IF(left(t, 1) IN ('"', "'"), '', upper(t)))"""
+_BAD = r"(length(t) = 1 AND NOT rlike(t, '[A-Za-z0-9\\p{Nd} \t\r\n=<>().:+*/;&-]'))"
 
 
 def _cut(x: DataFrame) -> DataFrame:
-    """The rows with ``pieces`` (text and line) and ``toks`` (the tokens: number of the piece, text, key, line) of their text."""
-    quoted = PIECE.replace("\\", "\\\\").replace("'", "\\'")
-    x = x.withColumn("pieces", F.expr(_PIECES.format(f"'{quoted}'")))
-    return x.withColumn("toks", F.expr(f"filter(transform(pieces, (x, p) -> IF({_GAP}, NULL, struct(p, x.t AS t, {_KEY} AS key, x.line AS line))), x -> x IS NOT NULL)"))
+    """The rows with ``texts`` and ``lines`` of all pieces, and ``at_piece`` (numbers of pieces), ``words`` and ``keys`` of the tokens."""
+    x = x.withColumn("by_line", F.expr(_BY_LINE))
+    x = x.withColumns({"texts": F.flatten("by_line"), "lines": F.expr("flatten(transform(by_line, (l, k) -> array_repeat(line + k, size(l))))")}).drop("by_line")
+    x = x.withColumn("at_piece", F.expr(f"filter(transform(texts, (t, p) -> IF({_GAP}, NULL, p)), p -> p IS NOT NULL)"))
+    return x.withColumn("words", F.expr("transform(at_piece, p -> texts[p])")).withColumn("keys", F.expr(_KEYS))
 
 
 def tokens(programs: DataFrame, text: str = "text") -> DataFrame:
     """id, sentence, i (number of the token within its sentence), key, previous, following; at i = -1 the sentence's text, line and at."""
-    x = _cut(sentences(programs, text)).select("id", "sentence", "text", "line", "at", F.expr("transform(toks, x -> x.key)").alias("keys"))
+    x = sentences(programs, text).withColumn("words", F.expr(f"filter(regexp_extract_all(text, '{_QUOTED}', 0), t -> NOT {_GAP})"))
+    x = x.select("id", "sentence", *OWN, F.expr(_KEYS).alias("keys"))
     own = "struct(-1 AS i, '' AS key, CAST(NULL AS STRING) AS previous, CAST(NULL AS STRING) AS following, text, line, at)"
     each = "struct(i, k AS key, get(keys, i - 1) AS previous, get(keys, i + 1) AS following, CAST(NULL AS STRING) AS text, CAST(NULL AS INT) AS line, CAST(NULL AS INT) AS at)"
     return x.select("id", "sentence", F.inline(F.expr(f"concat(array({own}), transform(keys, (k, i) -> {each}))")))
@@ -145,9 +148,11 @@ def attached(words: DataFrame, fold_all: bool = False) -> DataFrame:
     return x.select("id", "sentence", *OWN, F.expr(f"IF(regular, {known}, aggregate(words, {_EMPTY}, (a, w) -> {_STEP}, a -> a.o))").alias("belongs"))
 
 
-def _upto(a: str, b: str, only: str = "true") -> str:
+def _upto(a: str, b: str, only: str = "") -> str:
     """The sentence's tokens from number a to before number b as one text."""
-    return f"array_join(transform(filter(slice(toks, {a} + 1, greatest({b} - ({a}), 0)), x -> {only}), x -> x.t), ' ')"
+    some = lambda c: f"slice({c}, {a} + 1, greatest({b} - ({a}), 0))"
+    kept = f"filter(zip_with({some('words')}, {some('keys')}, (t, key) -> IF({only}, t, NULL)), t -> t IS NOT NULL)" if only else some("words")
+    return f"array_join({kept}, ' ')"
 
 
 def _cleaned(text: str) -> Column:
@@ -165,8 +170,8 @@ def _also(text: str) -> Column:
     return F.expr(rf"filter(transform(split(coalesce({text}, ''), '(?i)\\s+ALSO\\s+'), x -> trim(x)), x -> x != '')")
 
 
-_RAW = "array_join(transform(slice(pieces, {0}.p + 1, {1}.p - {0}.p + 1), x -> x.t), '')"
-_AT = "get(toks, {0})"
+_RAW = "array_join(slice(texts, {0} + 1, {1} - {0} + 1), '')"  # from one piece to another
+_KEY_AT, _PIECE_AT = "get(keys, {0})", "get(at_piece, {0})"
 
 
 SCOPE = ("owner", "kind", "other", "whens", "next_begin", "next_then")
@@ -190,49 +195,50 @@ def _scopes(attached: DataFrame) -> DataFrame:
     whens = f"sort_array(transform({of('WHEN')}, b -> struct(b.i AS i, b.next_begin AS next_begin)))"
     scope = f"struct(g[0].owner AS owner, g[0].kind AS kind, {first('END', 'i')} AS closed, {first('ELSE', 'i')} AS other, {whens} AS whens, {first('OPEN', 'next_begin')} AS next_begin, {first('OPEN', 'next_then')} AS next_then)"
     x = x.select("id", "sentence", *OWN, "word", F.expr(f"transform(filter(groups, g -> g[0].kind IN ('IF', 'EVALUATE')), g -> {scope})").alias("scopes"))
-    x = _cut(x).withColumn("top", F.size("toks") - 1)
+    x = _cut(x).withColumn("top", F.size("words") - 1)
     # a scope that nothing closes ends before the period; the last sentence may have none
-    x = x.withColumn("scopes", _with(SCOPE, end=f"greatest(s.owner, coalesce(s.closed, IF({_AT.format('top')}.key = '.', top - 1, top)))"))
+    x = x.withColumn("scopes", _with(SCOPE, end=f"greatest(s.owner, coalesce(s.closed, IF({_KEY_AT.format('top')} = '.', top - 1, top)))"))
     event = "coalesce(least(s.next_begin, s.next_then) <= coalesce(s.other - 1, s.end), false)"
     then = "coalesce(s.next_then < s.next_begin, s.next_begin IS NULL)"
     body = f"CASE WHEN s.kind != 'IF' THEN NULL WHEN {event} THEN IF({then}, s.next_then + 1, s.next_begin) ELSE s.other END"
-    stop = f"IF({_AT.format('s.end')}.key IN ('END-IF', 'END-EVALUATE'), s.end, s.end + 1)"
-    return x.withColumn("scopes", _with((*SCOPE, "end"), body=body, stop=stop, a=_AT.format("s.owner"), z=_AT.format("s.end")))
+    stop = f"IF({_KEY_AT.format('s.end')} IN ('END-IF', 'END-EVALUATE'), s.end, s.end + 1)"
+    return x.withColumn("scopes", _with((*SCOPE, "end"), body=body, stop=stop, a=_PIECE_AT.format("s.owner"), z=_PIECE_AT.format("s.end")))
 
 
-def extract(programs: DataFrame, mode: str = "FULL", parity: bool = False, fold_all: bool = False, hold: Callable[[str, DataFrame], DataFrame] = lambda _name, rows: rows) -> Extracted:
+def extract(programs: DataFrame, mode: str = "FULL", parity: bool = False, fold_all: bool = False, hold: Callable[[str, DataFrame], DataFrame] = lambda _name, rows: rows, snippets: bool = True) -> Extracted:
     """Status, candidates (O-90) and rules (O-91 to O-100) of programs (id, text); an id is one row.
 
     Each result is one pass, which writes nothing but the one exchange by ``id``, and not that where programs come dealt by ``id``.
-    Where several results are read, ``hold(name, rows)`` may keep the sentences with their scopes as a table and give it back.
+    ``snippets=False`` leaves the rules' raw_snippet null, for readers that don't take it: it is not made then.  Where several results are read, ``hold(name, rows)`` may keep the sentences with their scopes as a table and give it back.
     """
     x = _judged(_scopes(attached(_structural(_events(tokens(programs), parity)), fold_all)))
     every = hold("sentences", x)
     valid = every.filter("said IS NULL AND size(scopes) > 0")
-    found = valid.select("id", F.inline(F.expr(f"transform(scopes, s -> struct(s.kind AS kind, s.a.line AS start_line, s.z.line AS end_line, {_RAW.format('s.a', 's.z')} AS snippet))")))
-    return Extracted(_status(every), found.select("id", F.lit(mode).alias("parse_mode"), "kind", "start_line", "end_line", "snippet"), _rules(valid, mode))
+    found = valid.select("id", F.inline(F.expr(f"transform(scopes, s -> struct(s.kind AS kind, get(lines, s.a) AS start_line, get(lines, s.z) AS end_line, {_RAW.format('s.a', 's.z')} AS snippet))")))
+    return Extracted(_status(every), found.select("id", F.lit(mode).alias("parse_mode"), "kind", "start_line", "end_line", "snippet"), _rules(valid, mode, snippets))
 
 
 _TYPES = {"evaluate_boolean_mode": "boolean", "is_when_other": "boolean", "when_index": "int", "start_line": "int", "end_line": "int"}
 
 
-def _rules(sentences: DataFrame, mode: str) -> DataFrame:
+def _rules(sentences: DataFrame, mode: str, snippets: bool = True) -> DataFrame:
     """O-91 to O-93, and O-95 to O-100: a row for each IF and for each WHEN; a WHEN without an action shares the next one's (O-98)."""
-    condition, then, other = _upto("s.owner + 1", "s.body", "x.key != 'THEN'"), _upto("s.body", "coalesce(s.other, s.stop)"), _upto("s.other + 1", "s.stop")
-    row = "struct({kind} AS kind, s.owner AS owner, {n} AS n, {subject} AS subject, {first}.line AS start_line, {last}.line AS last_line, {cond} AS cond, {action} AS action, {other} AS other, {raw} AS raw)"
-    ifs = row.format(kind="'IF'", n="0", subject="CAST(NULL AS STRING)", first="s.a", last="s.z", cond=condition, action=then, other=other, raw=_RAW.format("s.a", "s.z"))
+    condition, then, other = _upto("s.owner + 1", "s.body", "key != 'THEN'"), _upto("s.body", "coalesce(s.other, s.stop)"), _upto("s.other + 1", "s.stop")
+    raw = _RAW if snippets else "CAST(NULL AS STRING)"
+    row = "struct({kind} AS kind, s.owner AS owner, {n} AS n, {subject} AS subject, get(lines, {first}) AS start_line, get(lines, {last}) AS last_line, {cond} AS cond, {action} AS action, {other} AS other, {raw} AS raw)"
+    ifs = row.format(kind="'IF'", n="0", subject="CAST(NULL AS STRING)", first="s.a", last="s.z", cond=condition, action=then, other=other, raw=raw.format("s.a", "s.z"))
     subject = _upto("s.owner + 1", "get(s.whens, 0).i")
     after = "coalesce(get(s.whens, n + 1).i, s.stop)"
     whens = f"transform(s.whens, (w, n) -> struct(s.owner AS owner, n AS n, w.i AS i, {after} AS after, IF(w.next_begin < {after}, w.next_begin, NULL) AS body, subject AS subject))"
     with_subject = f"flatten(transform(filter(scopes, s -> s.kind = 'EVALUATE'), s -> flatten(transform(array({subject}), subject -> {whens}))))"
     x = sentences.withColumn("whens", F.expr(with_subject))
-    first, last = _AT.format("s.i"), _AT.format("greatest(s.after - 1, s.i)")
-    when = row.format(kind="'EVALUATE'", n="s.n", subject="s.subject", first=first, last=last, cond=_upto("s.i + 1", "coalesce(s.body, s.after)"), action=_upto("s.body", "s.after"), other="CAST(NULL AS STRING)", raw=_RAW.format(first, last))
+    first, last = _PIECE_AT.format("s.i"), _PIECE_AT.format("greatest(s.after - 1, s.i)")
+    when = row.format(kind="'EVALUATE'", n="s.n", subject="s.subject", first=first, last=last, cond=_upto("s.i + 1", "coalesce(s.body, s.after)"), action=_upto("s.body", "s.after"), other="CAST(NULL AS STRING)", raw=raw.format(first, last))
     x = x.select("id", "sentence", F.inline(F.expr(f"concat(transform(filter(scopes, s -> s.kind = 'IF'), s -> {ifs}), transform(whens, s -> {when}))")))
     is_if = _c("kind") == "IF"
     x = x.withColumns({"subject": _or_null(_cleaned("subject")), "cond": _cleaned("cond"), "action": _or_null(_cleaned("action")), "other": _or_null(_cleaned("other"))})
     x = x.withColumn("cond", F.when(is_if, _c("cond")).otherwise(F.coalesce(_or_null(_c("cond")), F.lit("OTHER"))))
-    x = x.withColumns({"subjects": _also("subject"), "items": _also("cond"), "is_other": F.upper("cond") == "OTHER"})
+    x = x.withColumns({"subjects": F.when(~is_if, _also("subject")), "items": F.when(~is_if, _also("cond")), "is_other": ~is_if & (F.upper("cond") == "OTHER")})
     x = x.withColumn("boolean", F.expr("size(subjects) > 0 AND forall(subjects, x -> upper(x) = 'TRUE')"))
     paired = F.expr("array_join(IF(boolean, items, transform(slice(items, 1, size(subjects)), (w, i) -> concat(subjects[i], ' = ', w))), ' AND ')")
     x = x.withColumn("predicate", F.when(_c("is_other"), "OTHER").otherwise(F.coalesce(_or_null(paired), _c("cond"))))
@@ -256,19 +262,19 @@ def _rules(sentences: DataFrame, mode: str) -> DataFrame:
 
 def _judged(x: DataFrame) -> DataFrame:
     """The sentences with ``said``, the first failure of their program (null: valid): lexer before parser, words before the program's shape (O-70)."""
-    keys = "transform(toks, x -> x.key)"
     top = "filter(scopes, s -> s.kind = 'IF')"
     fault = "CASE WHEN s.kind = 'IF' AND (s.body IS NULL OR s.body <= s.owner + 1) THEN 'IF without a condition or an action' WHEN s.kind = 'EVALUATE' AND size(s.whens) = 0 THEN 'EVALUATE without WHEN' END"
-    place = lambda tok: f"IF({tok} IS NULL, NULL, struct(sentence, {tok}.p AS p, {tok}.line AS line, {tok}.t AS t))"
+    place = lambda n: f"IF(get(at_piece, {n}) IS NULL, NULL, struct(sentence, get(at_piece, {n}) AS p, get(lines, get(at_piece, {n})) AS line, get(words, {n}) AS t))"
+    x = x.withColumn("bad", F.expr(f"get(filter(transform(words, (t, n) -> IF({_BAD}, n, NULL)), n -> n IS NOT NULL), 0)"))
     x = x.withColumn("open", F.expr(f"get(filter(transform(scopes, s -> struct(s.owner AS owner, {fault} AS m)), s -> s.m IS NOT NULL), 0)"))
     of_sentence = {
-        "lexer": F.expr(place(f"get(filter(toks, x -> {_BAD}), 0)")),
-        "first": F.expr(place("get(toks, 0)")),
-        "word": F.expr(f"IF(word IS NULL, NULL, struct({place(_AT.format('word.i'))} AS x, word.kind AS kind))"),
-        "top_scope": F.expr(place("get(scopes, 0).a")),
-        "open": F.expr(f"IF(open IS NULL, NULL, struct({place(_AT.format('open.owner'))} AS x, open.m AS m))"),
-        "named": F.expr(f"array_contains({keys}, 'PROGRAM-ID')"),
-        "procedure": F.expr("exists(transform(toks, (x, n) -> x.key = 'DIVISION' AND n > 0 AND get(toks, n - 1).key = 'PROCEDURE'), y -> y)"),
+        "lexer": F.expr(place("bad")),
+        "first": F.expr(place("0")),
+        "word": F.expr(f"IF(word IS NULL, NULL, struct({place('word.i')} AS x, word.kind AS kind))"),
+        "top_scope": F.expr(place("get(scopes, 0).owner")),
+        "open": F.expr(f"IF(open IS NULL, NULL, struct({place('open.owner')} AS x, open.m AS m))"),
+        "named": F.array_contains("keys", "PROGRAM-ID"),
+        "procedure": F.expr("array_contains(keys, 'PROCEDURE') AND exists(transform(keys, (k, n) -> k = 'PROCEDURE' AND get(keys, n + 1) <=> 'DIVISION'), y -> y)"),
         "any_if": F.expr(f"size({top}) > 0"),
     }
     names = {c: f"_{c}" for c in of_sentence}
@@ -289,13 +295,13 @@ def _judged(x: DataFrame) -> DataFrame:
         .when(~g("procedure") & g("any_if"), said("PARSER_ERROR", g("top_scope"), F.lit("a statement outside the PROCEDURE DIVISION")))
         .when(g("open").isNotNull(), said("PARSER_ERROR", g("open")["x"], g("open")["m"]))
     )
-    return x.select("id", "sentence", "line", "at", "pieces", "toks", "scopes", what.alias("said"))
+    return x.select("id", "sentence", "line", "at", "texts", "lines", "at_piece", "words", "keys", "scopes", what.alias("said"))
 
 
 def _status(sentences: DataFrame) -> DataFrame:
     """The row of each program, made from the sentence of its first failure, or from its first one."""
     x = sentences.filter(_c("sentence") == F.coalesce("said.x.sentence", F.lit(0)))
     # the place in the line: what stands before in it, and for a sentence's first line what stands before the sentence
-    before = "aggregate(filter(slice(pieces, 1, said.x.p), x -> x.line = said.x.line AND x.t != '\n'), 0, (n, x) -> n + length(x.t))"
+    before = "aggregate(zip_with(slice(texts, 1, said.x.p), slice(lines, 1, said.x.p), (t, l) -> IF(l = said.x.line AND t != '\n', length(t), 0)), 0, (n, x) -> n + x)"
     at = F.expr(f"CASE WHEN said IS NULL THEN NULL WHEN said.m = 'no tokens' THEN 0 ELSE {before} + IF(said.x.line = line, at, 0) END")
     return x.select("id", F.coalesce("said.status", F.lit("VALID")).alias("status"), _c("said.x.line").alias("line_no"), at.alias("char_pos"), _c("said.x.t").alias("offending_token"), _c("said.m").alias("message"))

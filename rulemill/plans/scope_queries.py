@@ -31,7 +31,7 @@ def _nested_programs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scope_rules(spark, d):
-    got = scopes.extract(_nested_programs(spark, d)).rules
+    got = scopes.extract(_nested_programs(spark, d), snippets=False).rules
     return got.select(F.col("id").alias("program_id"), "rule_type", "start_line", "end_line", "condition_text", "then_text", "else_text", "when_index")
 
 
